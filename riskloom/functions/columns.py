@@ -60,3 +60,51 @@ def digit_count(u: Column) -> Column:
 
 def contains_flag(c: Column, pattern: str) -> Column:
     return F.when(c.rlike(pattern), F.lit(1)).otherwise(F.lit(0))
+
+
+def let(value: Column, fn) -> Column:
+    """Bind an expression once and use it many times inside `fn` (keeps large
+    expressions small: no repeated sub-trees)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def py_fixed(x: Column, d: int) -> Column:
+    """Python's f'{x:.{d}f}' as a JVM expression: round half-even on the exact
+    binary value (Java's %f rounds the shortest decimal half-up, trap T8).
+    x = m * 2^-s with an integer mantissa m < 2^53; x*10^d = m*10^d / 2^s is
+    split into quotient/remainder with exact DECIMAL(38,0) arithmetic."""
+    if d > 4:
+        raise ValueError("py_fixed supports up to 4 decimals")
+    unit = F.lit(10 ** d).cast("decimal(38,0)")
+    one = F.lit(1).cast("long")
+
+    def pow2(k):
+        return (F.call_function("shiftleft", one, F.least(k, F.lit(62))).cast("decimal(38,0)")
+                * F.call_function("shiftleft", one, F.greatest(k - 62, F.lit(0))).cast("decimal(38,0)"))
+
+    def from_k(k):
+        if d == 0:
+            return k.cast("string")
+        return F.concat(F.floor(k / unit).cast("decimal(38,0)").cast("string"), F.lit("."),
+                        F.lpad(F.pmod(k, unit).cast("decimal(38,0)").cast("string"), d, "0"))
+
+    def with_s(ax, s):
+        return let(ax * F.pow(F.lit(2.0), s), lambda mf: let(
+            mf.cast("long").cast("decimal(38,0)") * unit, lambda n: let(
+                pow2(s), lambda den: let(
+                    F.floor(n / den).cast("decimal(38,0)"), lambda q: let(
+                        n - q * den, lambda r: from_k((q + F.when(2 * r > den, 1).when(2 * r < den, 0)
+                                                       .otherwise(F.pmod(q, F.lit(2)))).cast("decimal(38,0)")))))))
+
+    def body(ax):
+        e1 = F.floor(F.log2(ax))
+        return let(ax * F.pow(F.lit(2.0), 52 - e1), lambda m1: let(
+            (52 - F.when(m1 >= 2.0 ** 53, e1 + 1).when(m1 < 2.0 ** 52, e1 - 1).otherwise(e1)).cast("int"),
+            lambda s: F.when(ax < 1e-12, from_k(F.lit(0).cast("decimal(38,0)")))
+                       .when(s <= 0, from_k((ax.cast("decimal(38,0)") * unit).cast("decimal(38,0)")))
+                       .otherwise(with_s(ax, s))))
+
+    digits = let(F.abs(x.cast("double")), body)
+    neg = (x < 0) | (x.cast("string") == "-0.0")
+    out = F.when(neg, F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), F.lit("nan")).otherwise(out)

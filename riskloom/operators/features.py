@@ -36,7 +36,8 @@ def spam_score(bio_lower):
     return sum((F.instr(bio_lower, kw) > 0).cast("int") for kw in SPAM_KEYWORDS)
 
 
-def metadata_features(df: DataFrame, keep: tuple[str, ...] = ("account_id",)) -> DataFrame:
+def metadata_features(df: DataFrame, keep=("account_id",), prefix: str = "") -> DataFrame:
+    """F01-F34 as one projection; `keep` passes columns through, `prefix` renames outputs."""
     bio = text("bio") if "bio" in df.columns else F.lit("")
     uname = text("username") if "username" in df.columns else F.lit("")
     followers, following, posts = num(df, "followers"), num(df, "following"), num(df, "posts")
@@ -86,5 +87,5 @@ def metadata_features(df: DataFrame, keep: tuple[str, ...] = ("account_id",)) ->
         else entropy(uname),
     }
     cols = [F.col(k) for k in keep if k in df.columns]
-    cols += [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in feats.items()]
+    cols += [F.coalesce(c.cast("double"), F.lit(0.0)).alias(prefix + n) for n, c in feats.items()]
     return df.select(*cols)
