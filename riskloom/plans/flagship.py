@@ -1,7 +1,3 @@
-"""Placeholder flagship until the scoring flow lands."""
-from .common import acc
-from ..operators.features import metadata_features
+"""The flagship query used by `entry()`: the per-account risk report."""
 
-
-def risk_report(spark, sf_dir):
-    return metadata_features(acc(spark, sf_dir))
+from .flow import risk_report  # noqa: F401
