@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from . import q_clean, q_features, q_fusion, q_graph, q_models, q_profile, q_sampling, q_sources  # noqa: F401
+from . import q_clean, q_features, q_fusion, q_graph, q_models, q_profile, q_sampling, q_sources, q_stream  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
