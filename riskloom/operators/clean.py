@@ -94,8 +94,8 @@ def strip_strings(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 # --- P10: IQR capping ------------------------------------------------------------
 
 def iqr_bounds(df: DataFrame, cols: list[str], k: float = 5.0, approx: bool = False,
-               accuracy: int = 100_000) -> Column:
-    """One aggregate row of (lo, hi) per column, exposed as a scalar-subquery struct.
+               accuracy: int = 100_000) -> dict:
+    """Fit: one aggregate row of (Q1, Q3) per column -> {col: (lo, hi)}.
     Exact `percentile` keeps a value->count map (bounded by distinct values);
     `approx=True` switches to the mergeable sketch for continuous columns at scale."""
     fields = []
@@ -104,11 +104,12 @@ def iqr_bounds(df: DataFrame, cols: list[str], k: float = 5.0, approx: bool = Fa
         q = (F.percentile_approx(x, [0.25, 0.75], accuracy) if approx
              else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
         fields.append(q.alias(c))
-    stats = df.agg(F.struct(*fields).alias("q"))
-    return stats.select(F.struct(*[
-        F.struct((F.col("q")[c][0] - k * (F.col("q")[c][1] - F.col("q")[c][0])).alias("lo"),
-                 (F.col("q")[c][1] + k * (F.col("q")[c][1] - F.col("q")[c][0])).alias("hi")).alias(c)
-        for c in cols])).scalar()
+    row = df.agg(*fields).first()
+    out = {}
+    for c in cols:
+        q1, q3 = (row[c] or [None, None])
+        out[c] = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+    return out
 
 
 def iqr_cap(df: DataFrame, cols: list[str] | None = None, k: float = 5.0, approx: bool = False,
@@ -121,10 +122,12 @@ def iqr_cap(df: DataFrame, cols: list[str] | None = None, k: float = 5.0, approx
     b = iqr_bounds(df, cols, k, approx)
     out = []
     for c in df.columns:
-        if c in cols:
+        if c in cols and b[c][0] is not None:
             x = F.col(c).cast("double")
             out.append(F.when(x.isNull(), F.lit(None))
-                       .otherwise(F.least(F.greatest(x, b[c]["lo"]), b[c]["hi"])).alias(c))
+                       .otherwise(F.least(F.greatest(x, F.lit(b[c][0])), F.lit(b[c][1]))).alias(c))
+        elif c in cols:
+            out.append(F.col(c).cast("double").alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
@@ -197,8 +200,9 @@ def mode_impute(df: DataFrame, cols: list[str] | None = None,
     cols = cols or string_columns(df, exclude=skip)
     if not cols:
         return df
-    m = modes(df, cols).agg(F.map_from_entries(F.collect_list(F.struct("column_name", "mode"))).alias("m")).scalar()
-    return df.select(*[F.coalesce(F.col(c), m[c]).alias(c) if c in cols else F.col(c) for c in df.columns])
+    m = {r["column_name"]: r["mode"] for r in modes(df, cols).collect()}     # one row per column
+    return df.select(*[F.coalesce(F.col(c), F.lit(m.get(c)).cast(dict(df.dtypes)[c])).alias(c) if c in cols
+                       else F.col(c) for c in df.columns])
 
 
 # --- P18-P21 ---------------------------------------------------------------------------

@@ -54,10 +54,7 @@ def soft_vote(df: DataFrame, prob_cols: list[str], weights=None, out_col: str =
     if isinstance(weights, dict):
         total = sum(weights[m] for m in prob_cols)
         return df.withColumn(out_col, sum(F.col(m) * F.lit(weights[m]) for m in prob_cols) / F.lit(total))
-    wm = weights.where(F.col("model").isin(prob_cols)).agg(
-        F.map_from_entries(F.collect_list(F.struct("model", "weight"))).alias("w")).scalar()
-    total = sum(wm[m] for m in prob_cols)
-    return df.withColumn(out_col, sum(F.col(m) * wm[m] for m in prob_cols) / total)
+    return soft_vote(df, prob_cols, fitted_weights(weights), out_col)
 
 
 def optimal_threshold(df: DataFrame, prob_col: str, label_col: str = "label") -> DataFrame:

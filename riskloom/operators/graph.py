@@ -25,10 +25,10 @@ def follower_tiers(df: DataFrame, key: str = "account_id", followers: str = "fol
     """Log-scale tier 1..19 of ln(1+followers) between min and max+1e-9."""
     lf = F.log(1 + F.coalesce(F.col(followers).cast("double"), F.lit(0.0)))
     base = df.select(F.col(key).alias("id"), lf.alias("lf"))
-    b = base.agg(F.min("lf").alias("lo"), (F.max("lf") + 1e-9).alias("hi")) \
-            .select(F.struct("lo", "hi").alias("b")).scalar()
-    width = (b["hi"] - b["lo"]) / N_TIERS
-    tier = F.least(F.lit(N_TIERS), F.floor((F.col("lf") - b["lo"]) / width) + 1).cast("int")
+    r = base.agg(F.min("lf").alias("lo"), (F.max("lf") + 1e-9).alias("hi")).first()   # fitted edges
+    lo, hi = F.lit(r["lo"]), F.lit(r["hi"])
+    width = (hi - lo) / N_TIERS
+    tier = F.least(F.lit(N_TIERS), F.floor((F.col("lf") - lo) / width) + 1).cast("int")
     return base.select("id", tier.alias("tier"))
 
 

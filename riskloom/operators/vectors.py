@@ -20,15 +20,25 @@ def standardize(df: DataFrame, cols: list[str], stats: DataFrame | None = None,
     """V06 transform: (x - mean) / std; constant column (std 0) -> 0.
     V07: a column absent from `df` is padded with its training mean (z = 0), by name."""
     stats = stats if stats is not None else scaler_stats(df, cols)
-    s = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    s = fitted_row(stats)
     out = [F.col(k) for k in (keep or [])]
     for c in cols:
-        x = F.col(c) if c in df.columns else s[f"mean_{c}"]
-        sd = s[f"std_{c}"]
-        out.append(F.when((sd == 0) | sd.isNull(), F.lit(0.0)).otherwise((x - s[f"mean_{c}"]) / sd).alias(prefix + c))
+        mean, sd = s[f"mean_{c}"], s[f"std_{c}"]
+        x = F.col(c) if c in df.columns else F.lit(mean)
+        if sd is None or sd == 0 or mean is None:
+            out.append(F.lit(0.0).alias(prefix + c))
+        else:
+            out.append(((x - F.lit(mean)) / F.lit(sd)).alias(prefix + c))
     return df.select(*out)
 
 
+def fitted_row(stats: DataFrame) -> dict:
+    """Fitted statistics are one aggregate row of bounded width (a few numbers per
+    column); they are fetched once and embedded as literals, so the transform
+    is a pure projection (no subquery re-running the upstream plan)."""
+    return stats.first().asDict()
+
+
 def assemble(df: DataFrame, cols: list[str], out_col: str = "features") -> DataFrame:
     """Vector column from named columns (names kept as the input order)."""
     from pyspark.ml.feature import VectorAssembler
