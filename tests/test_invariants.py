@@ -96,3 +96,43 @@ def test_oof_and_isotonic_invariants(spark):
     probe = spark.createDataFrame([(i / 20,) for i in range(21)], "score double")
     ps = [r.cal_p for r in iso.transform(probe).orderBy("score").collect()]
     assert all(a <= b + 1e-12 for a, b in zip(ps, ps[1:]))
+
+
+def _brandes(n, edges):
+    adj = {i: set() for i in range(n)}
+    for a, b in edges:
+        adj[a].add(b)
+        adj[b].add(a)
+    bc = [0.0] * n
+    for s in range(n):
+        order, pred, sigma, dist = [], {v: [] for v in range(n)}, [0.0] * n, [-1] * n
+        sigma[s], dist[s] = 1.0, 0
+        q = [s]
+        while q:
+            v = q.pop(0)
+            order.append(v)
+            for w in sorted(adj[v]):
+                if dist[w] < 0:
+                    dist[w] = dist[v] + 1
+                    q.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+                    pred[w].append(v)
+        delta = [0.0] * n
+        for w in reversed(order):
+            for v in pred[w]:
+                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                bc[w] += delta[w]
+    return [b / ((n - 1) * (n - 2)) for b in bc]
+
+
+def test_betweenness_matches_brandes(spark):
+    edges = [(0, 1), (1, 2), (2, 3), (3, 4), (1, 3), (4, 5), (5, 6), (6, 4), (7, 8)]
+    n = 10
+    v = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    e = spark.createDataFrame(edges, "src long, dst long")
+    got = {r.id: r.betweenness_centrality for r in G.betweenness(v, e).collect()}
+    exp = _brandes(n, edges)
+    for i in range(n):
+        assert abs(got[i] - exp[i]) < 1e-12
