@@ -137,3 +137,24 @@ def p21_round_half_even(spark, sf_dir):
     a = acc(spark, sf_dir)
     return a.select("account_id", C.round_half_even(F.col("caption_similarity_score"), 2).alias("caption_2"),
                     C.round_half_even(F.col("following") / 7, 1).alias("following_per_week"))
+
+
+_IMP = ["bio_length", "posts", "account_age_days", "follow_unfollow_rate", "spam_comments_rate",
+        "generic_comment_rate", "caption_similarity_score", "followers", "following"]
+
+
+@query("p17_mean_start", with_accounts(
+    "SELECT account_id, " + ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), avg({c}) OVER ()), 6) AS {c}"
+                                      for c in _IMP) + " FROM accounts"))
+def p17_mean_start(spark, sf_dir):
+    from ..operators.impute import mean_start
+    a = acc(spark, sf_dir).select("account_id", *_IMP)
+    return round_doubles(mean_start(a, _IMP).select("account_id", *_IMP))
+
+
+@query("p17_chained_impute")
+def p17_chained_impute(spark, sf_dir):
+    """Three rounds here (the operator default is the reference's ten)."""
+    from ..operators.impute import impute_chained
+    a = acc(spark, sf_dir).select("account_id", *_IMP)
+    return impute_chained(a, _IMP, max_iter=3)

@@ -136,3 +136,15 @@ def test_betweenness_matches_brandes(spark):
     exp = _brandes(n, edges)
     for i in range(n):
         assert abs(got[i] - exp[i]) < 1e-12
+
+
+def test_chained_imputation_keeps_observed_cells(spark):
+    from riskloom.operators.impute import impute_chained
+    cols = ["posts", "account_age_days", "follow_unfollow_rate", "caption_similarity_score", "followers"]
+    a = acc(spark, SF_SMALL).select("account_id", *cols)
+    out = impute_chained(a, cols, max_iter=2)
+    assert out.count() == a.count()
+    assert out.where(" OR ".join(f"{c} IS NULL" for c in cols)).count() == 0
+    j = a.join(out.select("account_id", *[F.col(c).alias(f"o_{c}") for c in cols]), "account_id")
+    for c in cols:
+        assert j.where(F.col(c).isNotNull() & (F.col(c).cast("double") != F.col(f"o_{c}"))).count() == 0
