@@ -197,3 +197,18 @@ def x05_back_projection(spark, sf_dir):
 def risk_report(spark, sf_dir):
     """The flagship (entry) on any scale."""
     return flow.risk_report(spark, sf_dir)
+
+
+@query("s10_bundle_roundtrip")
+def s10_bundle_roundtrip(spark, sf_dir):
+    """Train, save, load again and score with the loaded bundle."""
+    import uuid
+
+    from ..session import scratch_path
+    from .bundle import load_bundle, save_bundle
+    b = flow.train(spark, sf_dir, trees=QUERY_TREES, boost_iters=QUERY_TREES, with_graph=False,
+                   models=["random_forest", "naive_bayes"])
+    path = scratch_path(spark, f"bundle-{uuid.uuid4().hex}")
+    save_bundle(spark, b, path)
+    loaded = load_bundle(spark, path)
+    return flow.score(spark, sf_dir, loaded).select("account_id", "label", "probability", "risk_band")
