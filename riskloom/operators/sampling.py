@@ -148,3 +148,12 @@ def smote(df: DataFrame, key: str, vec: str, label: str = "label", k: int = 5, s
                       F.col(key).alias("seed_key"), F.col("_nid").alias("neighbour_key"), F.col("_lam").alias("lam"))
     orig = df.select(key, vec, label).withColumn("synthetic", F.lit(False))
     return orig.unionByName(syn, allowMissingColumns=True)
+
+
+def attach_modes(balanced: DataFrame, original: DataFrame, cols: list[str]) -> DataFrame:
+    """B05 (option): re-attach string columns as the column's mode (one constant per
+    column, as the reference does); the flow keeps the seed row's strings instead."""
+    from .clean import modes
+    m = {r["column_name"]: r["mode"] for r in modes(original, cols).collect()}   # one row per column
+    return balanced.select(*[c for c in balanced.columns if c not in cols],
+                           *[F.lit(m.get(c, "")).alias(c) for c in cols])

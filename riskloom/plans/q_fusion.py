@@ -303,3 +303,40 @@ _SUP = ("((lbl = 'FAKE' AND direction = 'increases_fake') OR (lbl = 'GENUINE' AN
         GROUP BY account_id, lbl, band, probability)""", ANNOT_SQL))
 def x12_explanation(spark, sf_dir):
     return O.result_record(explained(spark, sf_dir)).select("account_id", "explanation")
+
+
+@query("st04_one_shot_scan", _q("SELECT 'demo' AS mode, CAST(TIMESTAMP '2024-01-31 00:00:00' AS TIMESTAMP) AS scan_ts, "
+                                "count(*) AS count, count(*) FILTER (WHERE pred = 1) AS n_fake FROM fused"))
+def st04_one_shot_scan(spark, sf_dir):
+    from ..streaming.monitor import one_shot_scan
+
+    def score_fn(df):
+        return df.select("account_id", O.label_text(F.col("pred")).alias("label"))
+    _, entry = one_shot_scan(fused(spark, sf_dir), score_fn, "demo", "2024-01-31 00:00:00")
+    return entry
+
+
+@query("s20_fetch_and_score", _q(f"SELECT account_id, username, CASE WHEN pred = 1 THEN 'FAKE' ELSE 'GENUINE' END "
+                                 f"AS label, {_BAND} AS risk_band FROM fused"))
+def s20_fetch_and_score(spark, sf_dir):
+    """Names = every account username plus comma-list tokens from the documents
+    (unresolvable, skipped); each resolvable name is scored once."""
+    from ..sources.profiles import username_list
+    from ..sources.tables import Tables
+    from ..streaming.monitor import fetch_and_score
+    f = fused(spark, sf_dir)
+    names = f.select("username").unionByName(
+        Tables(spark, sf_dir).documents.select(F.explode(username_list(F.col("text"))).alias("username")))
+
+    def score_fn(df):
+        return df.select("account_id", "username", O.label_text(F.col("pred")).alias("label"),
+                         O.risk_band(F.col("probability")).alias("risk_band"))
+    return fetch_and_score(names, f, score_fn)
+
+
+@query("x04_explainer_choice", "SELECT 'magnitude' AS explainer")
+def x04_explainer_choice(spark, sf_dir):
+    """No tree-attribution library: the magnitude fallback is chosen (X02 -> X05)."""
+    w = weights(spark, sf_dir)
+    models = {r["model"]: r["f1"] for r in w.collect()}
+    return spark.createDataFrame([(X.choose_explainer(models),)], "explainer string")

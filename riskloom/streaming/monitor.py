@@ -126,3 +126,18 @@ def start_monitor(snapshots: DataFrame, watch_list: DataFrame, score_fn, alert_p
 
 def band(p):
     return risk_band(p)
+
+
+def one_shot_scan(profiles: DataFrame, score_fn, mode: str, scan_ts) -> tuple[DataFrame, DataFrame]:
+    """ST04 + H01: score a batch of profiles once and build its history entry
+    (scan_ts is an explicit as-of value, not now())."""
+    res = score_fn(profiles).withColumn("mode", F.lit(mode)).withColumn("scan_ts", F.lit(scan_ts).cast("timestamp"))
+    entry = res.agg(F.lit(mode).alias("mode"), F.min("scan_ts").alias("scan_ts"), F.count(F.lit(1)).alias("count"),
+                    F.count_if(F.col("label") == "FAKE").alias("n_fake"))
+    return res, entry
+
+
+def fetch_and_score(names: DataFrame, profiles: DataFrame, score_fn, key: str = "username") -> DataFrame:
+    """One result per resolvable name (inner join, duplicates collapsed);
+    unresolvable names are skipped; an empty list gives an empty result."""
+    return score_fn(profiles.join(names.select(key).distinct(), key, "left_semi"))
