@@ -57,3 +57,41 @@ def join_embeddings(df: DataFrame, key: str, emb: DataFrame, emb_key: str = "vec
     """Join a precomputed embedding table on the key; rows without one get zeros."""
     e = emb.select(F.col(emb_key).alias(key), F.col(emb_col).alias("_emb"))
     return df.join(e, key, "left").withColumn("embedding", F.coalesce(F.col("_emb"), zero_vector(dim))).drop("_emb")
+
+
+def svd_embed(weights: DataFrame, key: str = "doc_id", dim: int = DIM, seed: int = 42) -> DataFrame:
+    """Truncated SVD of the TF-IDF matrix, n = min(64, vocab, docs - 1)
+    components; document embedding = U * S (= X V).  The matrix is an
+    IndexedRowMatrix of sparse rows (one row per document, width = vocabulary)
+    and mllib's distributed eigen-solver works on Gramian-vector products.
+    Component signs are arbitrary; rows pad to `dim` with zeros (V03)."""
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark.sql import Window
+    spark = weights.sparkSession
+    terms = weights.select("term").distinct()
+    t_idx = terms.withColumn("j", F.row_number().over(Window.orderBy("term")) - 1)  # vocabulary <= 5000 rows
+    vocab = t_idx.count()
+    rows = weights.join(F.broadcast(t_idx), "term").groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("j", "weight"))).alias("e"))         # <= vocabulary entries per doc
+    n_docs = rows.count()
+    k = min(dim, vocab, n_docs - 1)
+    if k < 1:
+        return rows.select(key, F.array_repeat(F.lit(0.0), dim).alias("embedding"))
+    from pyspark import StorageLevel
+
+    from ..session import cut_lineage
+    rdd = rows.rdd.map(lambda r: IndexedRow(r[key], Vectors.sparse(vocab, [x["j"] for x in r["e"]],
+                                                                    [x["weight"] for x in r["e"]])))
+    rdd.persist(StorageLevel.MEMORY_AND_DISK)      # reused by every Gramian-vector product
+    try:
+        svd = IndexedRowMatrix(rdd).computeSVD(k, computeU=True)
+        s = svd.s.toArray().tolist()
+        u = cut_lineage(spark.createDataFrame(
+            svd.U.rows.map(lambda r: (int(r.index), [float(v) for v in r.vector.toArray()])),
+            f"{key} long, u array<double>"))
+    finally:
+        rdd.unpersist()
+    emb = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                      lambda i: F.when(i < k, F.col("u")[i] * F.array(*[F.lit(x) for x in s])[i]).otherwise(0.0))
+    return u.select(key, emb.alias("embedding"))

@@ -47,3 +47,10 @@ def v04_join_embeddings(spark, sf_dir):
     e_ids = Tables(spark, sf_dir).embeddings.select(F.col("vec_id").alias("account_id"), F.lit(1).alias("has_embedding"))
     return j.join(e_ids, "account_id", "left").select(
         "account_id", F.coalesce("has_embedding", F.lit(0)).alias("has_embedding"), F.round(emb_sum, 4).alias("emb_sum"))
+
+
+@query("v02_svd_embedding")
+def v02_svd_embedding(spark, sf_dir):
+    from ..session import cut_lineage
+    w = cut_lineage(TX.tfidf(Tables(spark, sf_dir).documents))
+    return TX.svd_embed(w)

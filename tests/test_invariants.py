@@ -148,3 +148,14 @@ def test_chained_imputation_keeps_observed_cells(spark):
     j = a.join(out.select("account_id", *[F.col(c).alias(f"o_{c}") for c in cols]), "account_id")
     for c in cols:
         assert j.where(F.col(c).isNotNull() & (F.col(c).cast("double") != F.col(f"o_{c}"))).count() == 0
+
+
+def test_svd_embedding_reconstructs_projection(spark):
+    from riskloom.operators import text as TX
+    d = Tables(spark, SF_SMALL).documents
+    w = TX.tfidf(d)
+    e = TX.svd_embed(w, dim=8)
+    rows = {r.doc_id: r.embedding for r in e.collect()}
+    assert all(len(v) == 8 for v in rows.values())
+    # squared norms of U*S never exceed the (unit) row norms of the L2-normalised TF-IDF rows
+    assert all(sum(x * x for x in v) <= 1.0 + 1e-9 for v in rows.values())
