@@ -92,7 +92,6 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, max_ite
              tol: float = 1e-6, fixed_rounds: int | None = None, checkpoint_every: int = 1) -> DataFrame:
     """Power iteration; dangling mass spread evenly; stop when the L1 change
     < n*tol (or after `fixed_rounds`).  One join + groupBy per round."""
-    spark = vertices.sparkSession
     deg = cut_lineage(degrees(vertices, edges))
     n = deg.count()
     e2 = cut_lineage(both_ways(edges))
@@ -114,7 +113,6 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, max_ite
                 break
         else:
             x = new.drop("old")
-    del spark
     return x.select("id", F.col("x").alias("pagerank"))
 
 

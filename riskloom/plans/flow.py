@@ -54,7 +54,7 @@ def train(spark, sf_dir, trees: int = 200, boost_iters: int = 200, with_graph: b
           models: list[str] | None = None, oof_folds: int = 5) -> dict:
     """Returns the fitted bundle and test metrics."""
     names = _names(with_graph)
-    base = feature_table(spark, sf_dir, with_graph).where(F.col("label").isNotNull())
+    base = cut_lineage(feature_table(spark, sf_dir, with_graph).where(F.col("label").isNotNull()))
     base = cut_lineage(stratified_split(base, "account_id"))
     tr, te = base.where(F.col("split") == "train"), base.where(F.col("split") == "test")
     stats = cut_lineage(scaler_stats(tr, names))
@@ -124,7 +124,7 @@ def risk_report(spark, sf_dir) -> DataFrame:
     labelled training split (M20 form) -> threshold sweep (M17) -> exact linear
     attributions coef_j * z_j -> X06 ranking -> O05 record per account."""
     names = [f"f_{n}" for n in FEATURE_NAMES]
-    f = feature_table(spark, sf_dir, with_graph=False)
+    f = cut_lineage(feature_table(spark, sf_dir, with_graph=False))     # joins + features computed once
     lab = stratified_split(f.where(F.col("label").isNotNull()).select("account_id", "label"), "account_id")
     f = f.join(lab.select("account_id", "split"), "account_id", "left")
     stats = cut_lineage(scaler_stats(f.where(F.col("split") == "train"), names))
