@@ -158,3 +158,33 @@ def p17_chained_impute(spark, sf_dir):
     from ..operators.impute import impute_chained
     a = acc(spark, sf_dir).select("account_id", *_IMP)
     return impute_chained(a, _IMP, max_iter=3)
+
+
+@query("p05_guarded_ratio", with_accounts(
+    "SELECT account_id, round(CASE WHEN following > 0 THEN followers / following ELSE 0.0 END, 6) AS ratio, "
+    "round(CASE WHEN posts > 0 THEN following / posts ELSE 0.0 END, 6) AS per_post FROM accounts"))
+def p05_guarded_ratio(spark, sf_dir):
+    from ..functions.columns import guarded_ratio
+    a = acc(spark, sf_dir)
+    return round_doubles(a.select("account_id", guarded_ratio(F.col("followers"), F.col("following")).alias("ratio"),
+                                  guarded_ratio(F.col("following"), F.col("posts")).alias("per_post")))
+
+
+@query("p06_url_flag", "SELECT page_id, CAST(regexp_matches(coalesce(html, ''), 'http[s]?://|www\\.') AS INTEGER) AS "
+                       "has_url FROM pages")
+def p06_url_flag(spark, sf_dir):
+    p = Tables(spark, sf_dir).pages
+    return p.select("page_id", C.url_flag(F.col("html")).alias("has_url"))
+
+
+@query("p18_clip", with_accounts(
+    "SELECT account_id, CASE WHEN caption_similarity_score IS NULL THEN NULL ELSE "
+    "round(least(greatest(caption_similarity_score, 0), 1), 6) END AS caption_01, "
+    "CASE WHEN posts IS NULL THEN NULL ELSE least(posts, 100) END AS posts_max_100, "
+    "CASE WHEN account_age_days IS NULL THEN NULL ELSE greatest(account_age_days, 1) END AS age_min_1 FROM accounts"))
+def p18_clip(spark, sf_dir):
+    from ..functions.columns import clip
+    a = acc(spark, sf_dir)
+    return round_doubles(a.select("account_id", clip(F.col("caption_similarity_score"), 0.0, 1.0).alias("caption_01"),
+                                  clip(F.col("posts"), None, 100.0).alias("posts_max_100"),
+                                  clip(F.col("account_age_days"), 1.0, None).alias("age_min_1")))

@@ -386,3 +386,34 @@ def s19_demo_rows(spark, sf_dir):
     d = PR.demo_rows(a)
     return d.select("account_id", "has_profile_pic", "username_randomness", "followers", "following", "posts",
                     "suspicious_links_in_bio")
+
+
+def _multiclass_raw(spark, sf_dir):
+    p = _path(spark, "multiclass")
+    _multiclass(spark, sf_dir).write.mode("overwrite").option("header", True).option("escape", '"').csv(p)
+    return RD.read_csv_strings(spark, p)
+
+
+@query("p02_yes_no_flag", with_accounts("SELECT account_id, CAST(has_profile_pic = 1 AS INTEGER) AS picture, "
+                                        "CAST(verified = 1 AS INTEGER) AS link FROM accounts"))
+def p02_yes_no_flag(spark, sf_dir):
+    from ..operators.clean import yes_no_flag
+    r = _multiclass_raw(spark, sf_dir)
+    return r.select(F.col("account_id").cast("long").alias("account_id"),
+                    yes_no_flag(F.col("Profile Picture")).alias("picture"),
+                    yes_no_flag(F.col("External Link")).alias("link"))
+
+
+@query("p03_class_label", with_accounts("SELECT account_id, CASE WHEN label = 0 THEN 0 ELSE 1 END AS label FROM accounts"))
+def p03_class_label(spark, sf_dir):
+    from ..operators.clean import class_to_label
+    r = _multiclass_raw(spark, sf_dir)
+    return r.select(F.col("account_id").cast("long").alias("account_id"), class_to_label(F.col("Labels")).alias("label"))
+
+
+@query("p04_presence_length", with_accounts("SELECT account_id, CASE WHEN bio IS NULL THEN 0 ELSE 80 END AS bio_length "
+                                            "FROM accounts"))
+def p04_presence_length(spark, sf_dir):
+    from ..operators.clean import presence_length
+    r = _multiclass_raw(spark, sf_dir)
+    return r.select(F.col("account_id").cast("long").alias("account_id"), presence_length(F.col("Bio")).alias("bio_length"))
