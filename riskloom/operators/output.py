@@ -53,13 +53,13 @@ def result_record(df: DataFrame, prob_col="probability", pred_col="pred", graph_
         ann = F.array().cast("array<struct<raw_name:string,description:string,value:double,direction:string,"
                              "pct:double,signed_pct:double,estimated:boolean>>")
     uname = display_username(F.col("username") if "username" in df.columns else None)
+    # the annotation array is projected once; every consumer reads the column
     base = df.select(*[F.col(k) for k in key if k in df.columns], uname.alias("username"),
-                     lab.alias("label"), F.round(p, 4).alias("probability"), F.round(gr, 4).alias("graph_risk"),
-                     band.alias("risk_band"), confidence(p).alias("confidence"), ann.alias("_ann"),
-                     X.explanation(lab, p, band, ann).alias("explanation"))
+                     lab.alias("label"), p.alias("_p"), F.round(gr, 4).alias("graph_risk"),
+                     band.alias("risk_band"), ann.alias("_ann"))
     return base.select(
-        *[k for k in key if k in df.columns], "username", "label", "probability", "graph_risk", "risk_band",
-        "confidence",
+        *[k for k in key if k in df.columns], "username", "label", F.round("_p", 4).alias("probability"),
+        "graph_risk", "risk_band", confidence(F.col("_p")).alias("confidence"),
         F.transform("_ann", lambda a: a["description"]).alias("top_features"),
         F.transform("_ann", lambda a: F.struct(a["raw_name"].alias("raw_name"),
                                                a["description"].alias("description"),
@@ -67,7 +67,7 @@ def result_record(df: DataFrame, prob_col="probability", pred_col="pred", graph_
         F.transform("_ann", lambda a: F.struct(a["description"].alias("name"), a["signed_pct"].alias("impact"),
                                                a["direction"].alias("direction"),
                                                a["estimated"].alias("estimated"))).alias("annotated_features"),
-        "explanation")
+        X.explanation(F.col("label"), F.col("_p"), F.col("risk_band"), F.col("_ann")).alias("explanation"))
 
 
 # --- R01-R05 ------------------------------------------------------------------------
