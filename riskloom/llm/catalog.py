@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from .langid import op4_language_id
 from .lines import OP10_SQL, op10_line_dedup
 from .mixing import op2_mixing
 from .pii import op3_pii
+from .quality import op7_quality
 from .simhash import op1_simhash_near_dedup
+from .topk import OP8_SQL, op8_exact_top_k
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
+    "op4_language_id": op4_language_id,
+    "op7_quality": op7_quality,
+    "op8_exact_top_k": op8_exact_top_k,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op8_exact_top_k": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
 }
