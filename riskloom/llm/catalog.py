@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op5_decontamination
 from .langid import op4_language_id
 from .lines import OP10_SQL, op10_line_dedup
 from .mixing import op2_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
     "op7_quality": op7_quality,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_line_dedup": op10_line_dedup,
