@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import op5_decontamination
 from .langid import op4_language_id
 from .lines import OP10_SQL, op10_line_dedup
+from .lm import op9_lm_scoring
 from .mixing import op2_mixing
 from .pii import op3_pii
 from .quality import op7_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op7_quality": op7_quality,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
 }
 
