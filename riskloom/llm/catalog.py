@@ -10,6 +10,7 @@ from .mixing import op2_mixing
 from .pii import op3_pii
 from .quality import op7_quality
 from .simhash import op1_simhash_near_dedup
+from .tokenfile import op6_token_output
 from .topk import OP8_SQL, op8_exact_top_k
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
+    "op6_token_output": op6_token_output,
     "op7_quality": op7_quality,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_lm_scoring": op9_lm_scoring,
