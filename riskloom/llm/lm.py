@@ -20,6 +20,7 @@ hashes.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ ALPHA = 0.1
 MIN_CONTEXT = 256
 MIN_GAIN = 3.0
 PRIOR = 0.8
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 10 << 20
 BUCKET_ROWS = 1 << 20
 FOLDS, FOLD = 10, 0
 _END = xxhash.xxh64_intdigest(b"")                               # no word is empty
@@ -236,6 +237,7 @@ class BlockState:
 
 def _free_shuffles(spark: SparkSession) -> None:
     """Lets the driver notice that the shuffles of earlier passes are no longer used, so executors delete them."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -304,6 +306,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _free_shuffles(spark)
         asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(step, _PIECE)
         answers = answers.unionByName(written(exchange(asked), name))
+        del asked                                                # with its shuffles
     _free_shuffles(spark)
     kind = src.schema["id"].dataType.simpleString()
     return (blocks.groupBy("block").cogroup(answers.groupBy("block"))
