@@ -92,11 +92,12 @@ def st03_latest_alert(spark, sf_dir):
 
 @query("s11_alert_sink", LATEST_SQL)
 def s11_alert_sink(spark, sf_dir):
-    """Write the alert files (partitioned JSON, idempotent overwrite) and read them back."""
+    """Write the alerts of one day in two different batches, one of them twice, and read the table back."""
     path = scratch_path(spark, f"alerts-{uuid.uuid4().hex}")
     la = MON.latest_alerts(MON.route_alerts(results(spark, sf_dir)))
-    MON.write_alerts(la.select("alert_level", "username", "alert_date", "scan_id", "probability"), path)
-    MON.write_alerts(la.select("alert_level", "username", "alert_date", "scan_id", "probability"), path)  # replay
+    la = la.select("alert_level", "username", "alert_date", "scan_id", "probability")
+    for epoch in (0, 1, 0):                                                                     # 0 is replayed
+        MON.write_alerts(la.where(F.pmod(F.xxhash64("username"), F.lit(2)) == epoch), path, epoch)
     back = MON.read_alerts(spark, path, "username string, scan_id string, probability double, "
                                         "alert_level string, alert_date date")
     return round_doubles(back.select("alert_level", "username", "alert_date", "scan_id", "probability"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.output import risk_band
 
 ALERT_LEVELS = ("CRITICAL", "HIGH", "MEDIUM")
 HISTORY_KEEP = 50
@@ -62,28 +61,28 @@ def latest_alerts(alerts: DataFrame) -> DataFrame:
     Partial aggregation (max_by) absorbs a hot user before the shuffle."""
     cols = [c for c in alerts.columns if c not in ("alert_level", "username", "alert_date")]
     best = F.max_by(F.struct(*cols), F.struct("scan_ts", "scan_id"))
-    return alerts.groupBy("alert_level", "username", "alert_date").agg(best.alias("a")).select(
+    keys = ["alert_level", "username", "alert_date"]
+    if alerts.isStreaming:          # the day as an event-time window: state older than the watermark is dropped
+        keys.append(F.window("scan_ts", "1 day"))
+    return alerts.groupBy(*keys).agg(best.alias("a")).select(
         "alert_level", "username", "alert_date", "a.*")
 
 
-def write_alerts(alerts: DataFrame, path: str) -> None:
-    """JSON alert files partitioned by level and day.  Dynamic partition
-    overwrite replaces exactly the partitions present in this batch (idempotent
-    upsert; a retried batch rewrites the same files)."""
-    spark = alerts.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        alerts.write.mode("overwrite").partitionBy("alert_level", "alert_date").json(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+def write_alerts(alerts: DataFrame, path: str, epoch: int = 0) -> None:
+    """JSON alert files partitioned by level and day, in one folder per
+    batch (`epoch`).  A retried batch rewrites its own folder only, so replay
+    adds nothing and no batch touches what others wrote."""
+    alerts.write.mode("overwrite").partitionBy("alert_level", "alert_date").json(f"{path}/epoch={int(epoch)}")
 
 
-def read_alerts(spark, path: str, schema: str | None = None) -> DataFrame:
-    r = spark.read
-    if schema:
-        r = r.schema(schema)
-    return r.json(path)
+def read_alerts(spark, path: str, schema: str) -> DataFrame:
+    """The alert table: per (level, user, day) the row of the latest batch.
+    `schema` names the columns of the files with alert_level and alert_date."""
+    rows = spark.read.schema(f"{schema}, epoch long").json(path)
+    keys = ["alert_level", "username", "alert_date"]
+    rest = [c for c in rows.columns if c not in (*keys, "epoch")]
+    best = F.max_by(F.struct(*rest), "epoch").alias("a")
+    return rows.groupBy(*keys).agg(best).select(*[f"a.{c}" if c in rest else c for c in rows.columns if c != "epoch"])
 
 
 # --- ST05 --------------------------------------------------------------------------------
@@ -111,7 +110,7 @@ def start_monitor(snapshots: DataFrame, watch_list: DataFrame, score_fn, alert_p
     def sink(batch: DataFrame, epoch: int):
         batch.persist()
         try:
-            write_alerts(batch, alert_path)
+            write_alerts(batch, alert_path, epoch)
         finally:
             batch.unpersist()
 
@@ -124,10 +123,6 @@ def start_monitor(snapshots: DataFrame, watch_list: DataFrame, score_fn, alert_p
     return q.start(), hist.start()
 
 
-def band(p):
-    return risk_band(p)
-
-
 def one_shot_scan(profiles: DataFrame, score_fn, mode: str, scan_ts) -> tuple[DataFrame, DataFrame]:
     """ST04 + H01: score a batch of profiles once and build its history entry
     (scan_ts is an explicit as-of value, not now())."""
