@@ -35,10 +35,13 @@ def impute_chained(df: DataFrame, cols: list[str], max_iter: int = 10, trees: in
                    seed: int = 42) -> DataFrame:
     miss = missing_counts(df, cols)
     incomplete = sorted([c for c in cols if miss[c] > 0], key=lambda c: (miss[c], c))
+    rows = df.count()
+    cols = [c for c in cols if miss[c] < rows or not rows]          # a column without any value stays as it is
+    incomplete = [c for c in incomplete if c in cols]
     x = cut_lineage(mean_start(df, cols).withColumn("_row", F.monotonically_increasing_id()))
     if not incomplete:
         return x.drop("_row", *[f"_m_{c}" for c in cols])
-    inf_norm = df.agg(F.max(F.greatest(*[F.abs(F.col(c).cast("double")) for c in cols]))).first()[0] or 0.0
+    inf_norm = df.agg(F.max(_greatest([F.abs(F.col(c).cast("double")) for c in cols]))).first()[0] or 0.0
     for _ in range(max_iter):
         prev = x
         for c in incomplete:
@@ -50,17 +53,21 @@ def impute_chained(df: DataFrame, cols: list[str], max_iter: int = 10, trees: in
             pred = rf.transform(va.transform(x))
             x = pred.withColumn(c, F.when(F.col(f"_m_{c}"), F.col("_pred")).otherwise(F.col(c))) \
                     .drop("_f", "_pred")
-        x = cut_lineage(x)
+            x = cut_lineage(x)                                      # the next column's fit reads this one's values
         change = _max_change(prev, x, incomplete)
         if change < tol * inf_norm:
             break
     return x.drop("_row", *[f"_m_{c}" for c in cols])
 
 
+def _greatest(values: list):
+    return F.greatest(*values) if len(values) > 1 else values[0]
+
+
 def _max_change(prev: DataFrame, cur: DataFrame, cols: list[str]) -> float:
     """Largest absolute change of an imputed cell between two rounds."""
     key = "_row"
     a = prev.select(key, *[F.col(c).alias(f"a_{c}") for c in cols])
     b = cur.select(key, *[F.col(c).alias(f"b_{c}") for c in cols])
-    d = a.join(b, key).agg(F.max(F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in cols])))
+    d = a.join(b, key).agg(F.max(_greatest([F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in cols])))
     return d.first()[0] or 0.0
