@@ -204,17 +204,6 @@ def explanation(label: Column, prob: Column, band: Column, ann: Column,
     return F.concat_ws(" ", *parts)
 
 
-def component_report(loadings: DataFrame, n_top: int = 5) -> DataFrame:
-    """Top-n loadings by |loading| per component.  Input long form
-    (component INT, feature STRING, loading DOUBLE, explained DOUBLE)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("component").orderBy(F.abs("loading").desc(), F.col("feature_idx"))
-    return (loadings.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n_top))
-
-
-TREE_PREFERENCE = ["xgboost", "lightgbm", "catboost", "random_forest", "extra_trees"]
-
-
 def choose_explainer(models: dict, tree_attributions_available: bool = False) -> str:
     """The first available tree model when tree attributions are available,
     else the magnitude fallback (X02) - the path used by the scoring flow."""

@@ -53,12 +53,6 @@ def stratified_folds(df: DataFrame, key: str, label: str = "label", k: int = 5,
     return r.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_h", "_r")
 
 
-def hash_split(df: DataFrame, key: str, test_pct: int = 20, seed: int = 42) -> DataFrame:
-    """B07 scale form: one narrow projection, no ranks (counts are approximate)."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < test_pct, "test")
-                         .otherwise("train"))
-
-
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """N rows in md5(seed-key) order (top-n, no global sort); when the pool is
     smaller than n, rows are repeated (with replacement), copies ordered the same way."""

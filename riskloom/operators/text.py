@@ -23,18 +23,20 @@ def tokens(text_col: str):
     return F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
 
 
-def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text", max_features: int = MAX_FEATURES) -> DataFrame:
-    """Sublinear tf (1 + ln tf), smooth idf ln((1+n)/(1+df)) + 1, vocabulary =
-    the max_features most frequent terms (ties by term), rows L2-normalised.
+def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text", max_features: int | None = None) -> DataFrame:
+    """Sublinear tf (1 + ln tf), smooth idf ln((1+n)/(1+df)) + 1, rows
+    L2-normalised.  The vocabulary is every term, or the max_features most
+    frequent ones (ties by term) if the caller asks for a cut.
     Only non-blank texts take part."""
     d = docs.where(F.col(text_col).isNotNull() & (strip_ws(F.col(text_col)) != "")) \
             .select(F.col(key).alias("doc"), F.explode(tokens(text_col)).alias("term"))
     tf = d.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.where(F.col(text_col).isNotNull() & (strip_ws(F.col(text_col)) != "")).agg(F.count(F.lit(1))).first()[0]
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    vocab = stats.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features) \
-                 .select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(F.broadcast(vocab), "term").select("doc", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    if max_features is not None:
+        stats = stats.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
+    vocab = stats.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    w = tf.join(vocab, "term").select("doc", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, "doc").select(F.col("doc").alias(key), "term", (F.col("w") / F.col("norm")).alias("weight"))
 

@@ -37,9 +37,3 @@ def fitted_row(stats: DataFrame) -> dict:
     column); they are fetched once and embedded as literals, so the transform
     is a pure projection (no subquery re-running the upstream plan)."""
     return stats.first().asDict()
-
-
-def assemble(df: DataFrame, cols: list[str], out_col: str = "features") -> DataFrame:
-    """Vector column from named columns (names kept as the input order)."""
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=cols, outputCol=out_col, handleInvalid="keep").transform(df)

@@ -22,7 +22,7 @@ w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (ter
 nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
 SELECT doc_id, term, round(w / norm, 6) AS weight FROM w JOIN nrm USING (doc_id)""")
 def v01_tfidf(spark, sf_dir):
-    return round_doubles(TX.tfidf(Tables(spark, sf_dir).documents))
+    return round_doubles(TX.tfidf(Tables(spark, sf_dir).documents, max_features=TX.MAX_FEATURES))
 
 
 @query("v03_zero_vectors", "SELECT doc_id, len(list_filter(emb, lambda x: x <> 0)) AS nonzero FROM "
@@ -52,5 +52,5 @@ def v04_join_embeddings(spark, sf_dir):
 @query("v02_svd_embedding")
 def v02_svd_embedding(spark, sf_dir):
     from ..session import cut_lineage
-    w = cut_lineage(TX.tfidf(Tables(spark, sf_dir).documents))
+    w = cut_lineage(TX.tfidf(Tables(spark, sf_dir).documents, max_features=TX.MAX_FEATURES))
     return TX.svd_embed(w)
