@@ -20,7 +20,7 @@ from ..operators import metrics as MT
 from ..operators import models as M
 from ..operators import output as O
 from ..operators.features import FEATURE_NAMES, metadata_features
-from ..operators.fusion import fitted_weights, optimal_threshold, soft_vote, threshold_predict, vote_weights
+from ..operators.fusion import fitted_weights, optimal_threshold, threshold_predict, vote_weights
 from ..operators.pca import fit_pca, loadings
 from ..operators.sampling import stratified_folds, stratified_split
 from ..operators.vectors import scaler_stats, standardize
@@ -71,11 +71,11 @@ def train(spark, sf_dir, trees: int = 200, boost_iters: int = 200, with_graph: b
     pcols = [f"p_{n}" for n in zoo]
     vp = cut_lineage(M.probability_matrix(val, fitted, list(zoo)))
     weights = fitted_weights(vote_weights(vp, pcols))
-    vp = soft_vote(vp, pcols, weights, "soft_vote")
-    threshold = optimal_threshold(vp, "soft_vote").first()["threshold"]
     oof = M.oof_matrix(tr, zoo, "fold", k=oof_folds)
     meta_cols = pcols + ["graph_risk"]
     meta = M.meta_learner(oof, meta_cols)
+    # the threshold is tuned on the score it is applied to, over out-of-fold rows
+    threshold = optimal_threshold(M.meta_probability(oof, meta, meta_cols, "probability"), "probability").first()["threshold"]
     final = M.train_zoo(tr, zoo)
     bundle = {"names": names, "stats": stats, "pca": pca, "explained": explained, "models": final,
               "weights": weights, "threshold": threshold, "meta": meta, "model_names": list(zoo)}

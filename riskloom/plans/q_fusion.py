@@ -332,11 +332,3 @@ def s20_fetch_and_score(spark, sf_dir):
         return df.select("account_id", "username", O.label_text(F.col("pred")).alias("label"),
                          O.risk_band(F.col("probability")).alias("risk_band"))
     return fetch_and_score(names, f, score_fn)
-
-
-@query("x04_explainer_choice", "SELECT 'magnitude' AS explainer")
-def x04_explainer_choice(spark, sf_dir):
-    """No tree-attribution library: the magnitude fallback is chosen (X02 -> X05)."""
-    w = weights(spark, sf_dir)
-    models = {r["model"]: r["f1"] for r in w.collect()}
-    return spark.createDataFrame([(X.choose_explainer(models),)], "explainer string")

@@ -159,3 +159,56 @@ def test_svd_embedding_reconstructs_projection(spark):
     assert all(len(v) == 8 for v in rows.values())
     # squared norms of U*S never exceed the (unit) row norms of the L2-normalised TF-IDF rows
     assert all(sum(x * x for x in v) <= 1.0 + 1e-9 for v in rows.values())
+
+
+def test_alerts_of_several_batches_of_one_day_are_kept(spark, tmp_path):
+    import datetime as dt
+
+    from riskloom.streaming import monitor as MON
+    day = dt.date(2024, 5, 1)
+    schema = "alert_level string, username string, alert_date date, scan_id string"
+    path = str(tmp_path / "alerts")
+    for epoch, users in [(0, [("u1", "s1"), ("u2", "s2")]), (1, [("u3", "s3"), ("u1", "s4")]), (0, [("u1", "s1"), ("u2", "s2")])]:
+        MON.write_alerts(spark.createDataFrame([("HIGH", u, day, s) for u, s in users], schema), path, epoch)
+    got = {(r.username, r.scan_id) for r in MON.read_alerts(spark, path, schema).collect()}
+    assert got == {("u1", "s4"), ("u2", "s2"), ("u3", "s3")}
+
+
+def test_monitor_over_several_files_equals_the_batch_result(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from riskloom.plans.q_stream import results, score_events
+    from riskloom.streaming import monitor as MON
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    for i in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    name = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    snaps = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+             .withColumn("username", name))
+    watch = events.select(name.alias("username")).distinct()
+    root, schema = str(tmp_path / "out"), "username string, scan_id string, alert_level string, alert_date date"
+    want = {tuple(r) for r in MON.latest_alerts(MON.route_alerts(results(spark, SF_SMALL)))
+            .select("alert_level", "username", "alert_date", "scan_id").collect()}
+    for _ in range(2):                                            # the second start finds nothing new
+        for q in MON.start_monitor(snaps, watch, lambda d: score_events(d.drop("username")), root + "/alerts",
+                                   root + "/history", root + "/ckpt", {"availableNow": True}, "3650 days"):
+            q.awaitTermination()
+        got = [tuple(r) for r in MON.read_alerts(spark, root + "/alerts", schema)
+               .select("alert_level", "username", "alert_date", "scan_id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_imputation_of_one_incomplete_and_one_empty_column(spark):
+    from riskloom.operators.impute import impute_chained
+    rows = [(float(i), None if i % 5 == 0 else 2.0 * i, None) for i in range(40)]
+    d = spark.createDataFrame(rows, "a double, b double, c double")
+    got = impute_chained(d, ["a", "b", "c"], max_iter=2, trees=3).collect()
+    assert len(got) == 40 and all(r.b is not None and r.c is None for r in got)
+    assert all(r.b == 2 * r.a for r in got if r.a % 5)
+
+
+def test_knn_ties_go_to_the_smallest_keys(spark):
+    from riskloom.operators.neighbors import knn_exact
+    d = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "id long, v array<double>").repartition(5)
+    got = knn_exact(d.where("id = 150"), d, 5, "id", "id", "v")
+    assert [r.rid for r in got.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
