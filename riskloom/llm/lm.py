@@ -39,7 +39,7 @@ ALPHA = 0.1
 MIN_CONTEXT = 256
 MIN_GAIN = 3.0
 PRIOR = 0.8
-BLOCK_CHARS = 10 << 20
+BLOCK_CHARS = 14 << 20
 BUCKET_ROWS = 1 << 20
 FOLDS, FOLD = 10, 0
 _END = xxhash.xxh64_intdigest(b"")                               # no word is empty
@@ -78,6 +78,11 @@ def token_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
                 lens = np.fromiter(map(len, lists), np.uint32, len(lists))
                 tokens = np.fromiter((x for one in lists for x in one), np.uint32, int(lens.sum()))
                 hashes = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))
+                # small numbers for frequent words, so that they pack well; the end stays 0
+                order = np.argsort(-np.bincount(tokens, minlength=len(ids))[1:], kind="stable") + 1
+                place = np.zeros(len(ids), np.uint32)
+                place[order] = np.arange(1, len(ids), dtype=np.uint32)
+                tokens, hashes = place[tokens], hashes[np.concatenate(([0], order))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(part << 32) + n], pa.int64()),
                      pa.ListArray.from_arrays(pa.array([0, len(lens)], pa.int32()), b.column(0).slice(s.start, len(lens))),
