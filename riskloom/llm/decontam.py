@@ -4,10 +4,11 @@
    block's words are the vocabulary, with document frequencies counted over all
    documents.  Its terms are the words found in at most TERM_SHARE of the
    documents and, whatever their frequency, each item's rarest ones.
-2. A randomised SVD of the TF-IDF passages (the block's items and the passages
-   of a bounded sample of documents, FIT_DOCS) gives a latent basis: Spark
-   multiplies by the passages, the driver holds vocabulary x rank matrices.
-   Items weigh ITEM_WEIGHT as much as other passages, so the basis spans them.
+2. A randomised SVD of the TF-IDF passages of all documents and of the block's
+   items gives a latent basis.  Passages with the same terms are counted once
+   with their number, before and after the shuffle; Spark multiplies by them, the
+   driver holds vocabulary x rank matrices.  The items together weigh as much as
+   all passages together, at any size, so the basis spans them.
 3. Every document is searched for passages, of two lengths from each of its
    terms on, whose latent cosine with an item reaches MIN_COSINE.
 4. A candidate counts if the longest common subsequence of words covers
@@ -32,9 +33,7 @@ from pyspark.sql import functions as F
 from .common import read_table, written
 
 RANK, OVERSAMPLE, POWER = 256, 8, 1
-FIT_DOCS = 1000
 BLOCK_ITEMS = 256
-ITEM_WEIGHT = 10.0
 TERM_SHARE, LEAST_TERMS = 0.01, 8
 MIN_WORDS = 5
 #: Words per passage; documents are fitted in passages of the longer one.
@@ -43,6 +42,8 @@ MIN_COSINE = 0.4
 MIN_COVERED = 0.7
 ANSWER_SHARE, ANSWER_FOUND = 0.25, 0.6
 _HITS = 4096
+#: Different passages that a task counts before it hands the counts on.
+_COUNTED = 200_000
 
 _TABLE = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(),
                          string.ascii_lowercase.encode() + b" " * len(string.punctuation))
@@ -178,69 +179,115 @@ def _document_frequencies(texts: DataFrame, block: Block) -> tuple[dict[int, int
     return df, df.pop(0, 0)
 
 
-def _passages(rows: list[str], vocab: dict, weight: np.ndarray, scale: list[float]) -> Iterator[tuple]:
-    """Terms and unit TF-IDF values of the passages of some texts, times the texts' scale."""
-    for t, s in zip(rows, scale):
-        codes = np.fromiter((vocab.get(w, 0) for w in words(t)), np.int64)
-        for p in range(0, len(codes), LENGTHS[-1]):
-            kinds, n = np.unique(codes[p:p + LENGTHS[-1]], return_counts=True)
-            a = weight[kinds] * n
-            if a.any():
-                yield kinds, s * a / np.linalg.norm(a)
+def _term_bags(codes: np.ndarray, weight: np.ndarray) -> Iterator[bytes]:
+    """The terms of each passage that has any, ascending, repeats included."""
+    hits = np.flatnonzero(weight[codes])
+    if not len(hits):
+        return
+    passage = hits // LENGTHS[-1]
+    terms = codes[hits].astype("<i4")
+    order = np.lexsort((terms, passage))
+    raw = terms[order].tobytes()
+    ends = 4 * np.append(np.flatnonzero(np.diff(passage)) + 1, len(hits))
+    first = 0
+    for end in ends.tolist():
+        yield raw[first:end]
+        first = end
 
 
-def _products(passages: DataFrame, block: Block, basis: np.ndarray) -> np.ndarray:
-    """A'A basis over the passages: one row per vocabulary word, summed by Spark."""
-    shared = passages.sparkSession.sparkContext.broadcast((block.weight, basis, block.vocab))
+def passages(texts: DataFrame, block: Block) -> DataFrame:
+    """texts (text) -> (bag, n): the terms of the passages of all texts, how many passages hold just these."""
+    shared = texts.sparkSession.sparkContext.broadcast((block.vocab, block.weight))
+
+    def each(batches: Iterator[list[str]]) -> Iterator[pa.RecordBatch]:
+        vocab, weight = shared.value
+        get, seen = vocab.get, Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())],
+                                              ["bag", "n"])
+
+        for b in batches:
+            for t in b:
+                tokens = words(t)
+                seen.update(_term_bags(np.fromiter([get(w, 0) for w in tokens], np.int64, len(tokens)), weight))
+            if len(seen) > _COUNTED:
+                yield counted()
+                seen.clear()
+        yield counted()
+
+    return _mapped(texts, each, "bag binary, n long").groupBy("bag").agg(F.sum("n").alias("n"))
+
+
+def _multiplied(bags: list[bytes], times: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A basis for the unit TF-IDF rows A of some passages, each counted `times`."""
+    total = np.zeros_like(basis)
+    for at in range(0, len(bags), _HITS):
+        some = bags[at:at + _HITS]
+        codes = np.frombuffer(b"".join(some), "<i4").astype(np.int64)
+        row = np.repeat(np.arange(len(some)), [len(x) // 4 for x in some])
+        cell, n = np.unique(row * len(weight) + codes, return_counts=True)
+        row, codes = cell // len(weight), cell % len(weight)
+        a = weight[codes] * n
+        a /= np.sqrt(np.bincount(row, a * a))[row]
+        z = np.add.reduceat(a[:, None] * basis[codes], np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
+        z *= times[at:at + len(some), None]
+        order = np.argsort(codes, kind="stable")
+        firsts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        total[codes[order][firsts]] += np.add.reduceat(a[order, None] * z[row[order]], firsts, axis=0)
+    return total
+
+
+def _products(counted: DataFrame, block: Block, basis: np.ndarray) -> np.ndarray:
+    """A'A basis over counted passages: one row per vocabulary word, summed by Spark."""
+    shared = counted.sparkSession.sparkContext.broadcast((block.weight, basis))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, q, vocab = shared.value
+        weight, q = shared.value
         total = np.zeros_like(q)
         for b in batches:
-            for kinds, a in _passages(b.column(0).to_pylist(), vocab, weight, b.column(1).to_pylist()):
-                total[kinds] += a[:, None] * (a @ q[kinds])
+            total += _multiplied(b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64), weight, q)
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(list(total[at]), pa.list_(pa.float64()))],
                                          ["term", "v"])
 
     add = F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(basis.shape[1])])
     out = np.zeros_like(basis)
-    for r in passages.select("text", "scale").mapInArrow(run, "term long, v array<double>").groupBy("term").agg(add.alias("v")).collect():
+    for r in counted.select("bag", "n").mapInArrow(run, "term long, v array<double>").groupBy("term").agg(add.alias("v")).collect():
         out[r.term] = r.v
     return out
 
 
-def latent_basis(passages: DataFrame, block: Block, rank: int = RANK, seed: int = 7) -> np.ndarray:
-    """Leading right singular vectors of the passages' TF-IDF matrix, by a
-    randomised range finder with POWER extra multiplications."""
+def latent_basis(counted: DataFrame, block: Block, rank: int = RANK, seed: int = 7) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF matrix of counted passages
+    and the block's items, by a randomised range finder with POWER extra
+    multiplications."""
+    items = [bag for w in block.items for bag in _term_bags(block.codes(w), block.weight)]
+    mass = (counted.agg(F.sum("n")).first()[0] or 1) / max(1, len(items))
+
+    def times(q: np.ndarray) -> np.ndarray:
+        return _products(counted, block, q) + _multiplied(items, np.full(len(items), mass), block.weight, q)
+
     terms = len(block.vocab) + 1
     q = np.random.default_rng(seed).normal(size=(terms, min(terms, rank + OVERSAMPLE)))
     for _ in range(1 + POWER):
-        q = np.linalg.qr(_products(passages, block, q))[0]
-    small = q.T @ _products(passages, block, q)                  # Rayleigh-Ritz on the range found
+        q = np.linalg.qr(times(q))[0]
+    small = q.T @ times(q)                                       # Rayleigh-Ritz on the range found
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
 def _fitted(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str,
-            fit_docs: int, block_items: int) -> Iterator[Block]:
-    texts = docs.select(docs[text_col].alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("h"))
-    edge = texts.select("h").distinct().orderBy("h").limit(fit_docs).agg(F.max("h")).first()[0]
-    sample = None
+            block_items: int) -> Iterator[Block]:
+    texts = docs.select(docs[text_col].alias("text"))
     for block in _blocks(benchmark, item_col, item_text, block_items):
-        if sample is None:
-            sample = written(texts.filter(F.col("h") <= (edge or 0)).dropDuplicates(["h"])
-                             .select("text", F.lit(1.0).alias("scale")), "passages")
         block.weigh(*_document_frequencies(texts, block))
-        own = docs.sparkSession.createDataFrame(
-            [(b" ".join(w).decode("utf-8", "surrogatepass"), ITEM_WEIGHT) for w in block.items], "text string, scale double")
-        block.set_basis(latent_basis(sample.unionByName(own), block))
+        block.set_basis(latent_basis(written(passages(texts, block), "passages"), block))
         yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text", fit_docs: int = FIT_DOCS,
-                 block_items: int = BLOCK_ITEMS) -> DataFrame:
+                 item_col: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document and benchmark item found in it: id, item, cosine,
     covered (share of the item's words in the common subsequence), first_word
     and end_word of the stretch.
@@ -255,7 +302,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = src.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item long, cosine double, covered double, first_word long, end_word long"
     out = spark.createDataFrame([], schema)
-    for block in _fitted(docs, benchmark, id_col, text_col, item_col, item_text, fit_docs, block_items):
+    for block in _fitted(docs, benchmark, id_col, text_col, item_col, item_text, block_items):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -275,12 +322,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                         item_col: str = "item_id", item_text: str = "text", fit_docs: int = FIT_DOCS,
+                         item_col: str = "item_id", item_text: str = "text",
                          block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of `docs` that hold no benchmark item, in their columns; each task filters what it reads."""
     place = docs.columns.index(text_col)
     out = docs
-    for block in _fitted(docs, benchmark, id_col, text_col, item_col, item_text, fit_docs, block_items):
+    for block in _fitted(docs, benchmark, id_col, text_col, item_col, item_text, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

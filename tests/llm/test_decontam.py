@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -69,15 +70,39 @@ def test_basis_spans_the_items(spark):
     _, _, items, clean = _world(8)
     block = decontam.Block([(k, [w.encode() for w in x]) for k, x in enumerate(items)])
     block.weigh({}, 100)
-    passages = spark.createDataFrame([(" ".join(w), 1.0) for w in clean] + [(" ".join(w), 10.0) for w in items],
-                                     "text string, scale double").repartition(4)
-    basis = decontam.latent_basis(passages, block)
+    texts = spark.createDataFrame([(" ".join(w),) for w in clean], "text string").repartition(4)
+    counted = decontam.passages(texts, block)
+    basis = decontam.latent_basis(counted, block)
     assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-8)
     for w in block.items:
         a = np.bincount(block.codes(w), minlength=len(block.weight)) * block.weight
         assert np.linalg.norm(basis.T @ a) > 0.97 * np.linalg.norm(a)
 
 
+def test_passages_of_all_texts_are_counted(spark):
+    rng, text, items, clean = _world(9)
+    clean = clean + clean[:40] * 3
+    block = decontam.Block([(k, [w.encode() for w in x]) for k, x in enumerate(items)])
+    block.weigh({block.vocab[b"f1"]: 190}, 200)                  # a word that is no term unless an item has none rarer
+    want = Counter()
+    for w in clean:
+        codes = block.codes([x.encode() for x in w])
+        for p in range(0, len(codes), decontam.LENGTHS[-1]):
+            bag = sorted(c for c in codes[p:p + decontam.LENGTHS[-1]] if block.weight[c])
+            if bag:
+                want[np.array(bag, "<i4").tobytes()] += 1
+    texts = spark.createDataFrame([(" ".join(w),) for w in clean], "text string").repartition(5)
+    got = {bytes(r.bag): r.n for r in decontam.passages(texts, block).collect()}
+    assert got == want and max(got.values()) >= 4
+    q = np.random.default_rng(2).normal(size=(len(block.weight), 6))
+    plain = np.zeros_like(q)
+    for bag, n in want.items():
+        a = np.bincount(np.frombuffer(bag, "<i4"), minlength=len(q)) * block.weight
+        a /= np.linalg.norm(a)
+        plain += n * np.outer(a, a @ q)
+    assert np.allclose(decontam._products(decontam.passages(texts, block), block, q), plain)
+
+
 def test_odd_rows(spark):
     d = docs(spark, [*ODD, (30, "lead in " + " ".join(f"q{i}" for i in range(20)) + " tail"), (30, None)])
     item = " ".join(f"q{i}" for i in range(20))
