@@ -23,7 +23,8 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ LENGTHS = (24, 64)
 MIN_COSINE = 0.4
 MIN_COVERED = 0.7
 ANSWER_SHARE, ANSWER_FOUND = 0.25, 0.6
-_HITS = 4096
+#: Terms looked at together, passages multiplied together (both stay in the processor's cache), words searched together.
+_HITS, _ROWS, _WORDS = 512, 256, 1 << 17
 #: Different passages that a task counts before it hands the counts on.
 _COUNTED = 200_000
 
@@ -75,6 +77,8 @@ class Block:
         self.ids = [i for i, _ in items]
         self.items = [w for _, w in items]
         self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for x in self.items for w in x}))}   # 0: any other word
+        self.coded = [self.codes(w).tolist() for w in self.items]
+        self.bags = [np.bincount(c) for c in self.coded]
 
     def weigh(self, found: dict[int, int], docs: int) -> None:
         df = np.zeros(len(self.vocab) + 1)
@@ -90,8 +94,7 @@ class Block:
         self.least = min(3, *(math.ceil(MIN_COVERED * min(len(x), LEAST_TERMS)) for x in rarest))
 
     def codes(self, tokens: list[bytes]) -> np.ndarray:
-        get = self.vocab.get
-        return np.fromiter([get(w, 0) for w in tokens], np.int64, len(tokens))
+        return np.fromiter(map(self.vocab.get, tokens, repeat(0)), np.int64, len(tokens))
 
     def set_basis(self, basis: np.ndarray) -> None:
         self.project = (self.weight[:, None] * basis).astype(np.float32)
@@ -118,14 +121,36 @@ class Block:
                     out.setdefault(int(i), []).append((first, min(len(codes), first + length), float(cosine[p, i])))
         return out
 
-    def found(self, tokens: list[bytes]) -> list[tuple[int, float, float, int, int]]:
-        """(item id, cosine, covered, first word, end) of the items that a text holds."""
+    def search(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, float, float, int, int]]]:
+        """For each text the (item id, cosine, covered, first word, end) of the items that it holds."""
+        group, size = [], 0
+        for t in texts:
+            group.append(words(t))
+            size += len(group[-1])
+            if size >= _WORDS:
+                yield from self._found(group)
+                group, size = [], 0
+        if group:
+            yield from self._found(group)
+
+    def _found(self, texts: list[list[bytes]]) -> Iterator[list[tuple[int, float, float, int, int]]]:
+        codes = [self.codes(w) for w in texts]
+        gap = np.zeros(max(LENGTHS), np.int64)                   # no passage reaches into the next text
+        starts = np.cumsum([0, *(len(c) + len(gap) for c in codes)])
+        close: list[dict[int, list[tuple[int, int, float]]]] = [{} for _ in texts]
+        for i, passages in self.candidates(np.concatenate([x for c in codes for x in (c, gap)])).items():
+            text = np.searchsorted(starts, [p[0] for p in passages], "right") - 1
+            for (first, end, cosine), t in zip(passages, text.tolist()):
+                at = int(starts[t])
+                close[t].setdefault(i, []).append((first - at, min(len(codes[t]), end - at), cosine))
+        for tokens, own, passages in zip(texts, codes, close):
+            yield self._checked(tokens, own, passages)
+
+    def _checked(self, tokens: list[bytes], codes: np.ndarray, close: dict) -> list[tuple[int, float, float, int, int]]:
         out = []
-        codes = self.codes(tokens)
-        for i, passages in self.candidates(codes).items():
+        for i, passages in close.items():
             item, best = self.items[i], None
-            coded = self.codes(item)
-            bag = np.bincount(coded)
+            coded, bag = self.coded[i], self.bags[i]
             tried = set()
             for start, end, cosine in passages:
                 middle, reach = (start + end) // 2, max(len(item), (end - start) // 2)
@@ -137,7 +162,7 @@ class Block:
                 # no subsequence is longer than the words that both have
                 if np.minimum(np.bincount(near[near < len(bag)], minlength=len(bag)), bag)[1:].sum() < MIN_COVERED * len(item):
                     continue
-                covered = lcs(coded.tolist(), near.tolist()) / len(item)
+                covered = lcs(coded, near.tolist()) / len(item)
                 here = set(tokens[lo:hi])
                 answer = self.answers[i]
                 if covered >= MIN_COVERED and sum(w in here for w in answer) >= ANSWER_FOUND * len(answer):
@@ -162,15 +187,16 @@ def _mapped(rows: DataFrame, each: Callable[[Iterator[list[str]]], Iterator[pa.R
 
 
 def _document_frequencies(texts: DataFrame, block: Block) -> tuple[dict[int, int], int]:
-    shared = texts.sparkSession.sparkContext.broadcast(block)
+    shared = texts.sparkSession.sparkContext.broadcast(block.vocab)
 
     def each(batches: Iterator[list[str]]) -> Iterator[pa.RecordBatch]:
         seen, n = Counter(), 0
-        vocab = shared.value.vocab
+        vocab = shared.value
+        known = frozenset(vocab)
         for b in batches:
             n += len(b)
             for t in b:
-                seen.update(vocab.keys() & set(words(t)))
+                seen.update(known.intersection(words(t)))
         yield pa.RecordBatch.from_arrays([pa.array([0, *(vocab[w] for w in seen)], pa.int64()),
                                           pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
 
@@ -201,7 +227,7 @@ def passages(texts: DataFrame, block: Block) -> DataFrame:
 
     def each(batches: Iterator[list[str]]) -> Iterator[pa.RecordBatch]:
         vocab, weight = shared.value
-        get, seen = vocab.get, Counter()
+        seen = Counter()
 
         def counted() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())],
@@ -210,7 +236,7 @@ def passages(texts: DataFrame, block: Block) -> DataFrame:
         for b in batches:
             for t in b:
                 tokens = words(t)
-                seen.update(_term_bags(np.fromiter([get(w, 0) for w in tokens], np.int64, len(tokens)), weight))
+                seen.update(_term_bags(np.fromiter(map(vocab.get, tokens, repeat(0)), np.int64, len(tokens)), weight))
             if len(seen) > _COUNTED:
                 yield counted()
                 seen.clear()
@@ -221,17 +247,17 @@ def passages(texts: DataFrame, block: Block) -> DataFrame:
 
 def _multiplied(bags: list[bytes], times: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'A basis for the unit TF-IDF rows A of some passages, each counted `times`."""
-    total = np.zeros_like(basis)
-    for at in range(0, len(bags), _HITS):
-        some = bags[at:at + _HITS]
+    total, basis = np.zeros_like(basis), basis.astype(np.float32)
+    for at in range(0, len(bags), _ROWS):
+        some = bags[at:at + _ROWS]
         codes = np.frombuffer(b"".join(some), "<i4").astype(np.int64)
         row = np.repeat(np.arange(len(some)), [len(x) // 4 for x in some])
         cell, n = np.unique(row * len(weight) + codes, return_counts=True)
         row, codes = cell // len(weight), cell % len(weight)
         a = weight[codes] * n
-        a /= np.sqrt(np.bincount(row, a * a))[row]
+        a = (a / np.sqrt(np.bincount(row, a * a))[row]).astype(np.float32)
         z = np.add.reduceat(a[:, None] * basis[codes], np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
-        z *= times[at:at + len(some), None]
+        z *= times[at:at + len(some), None].astype(np.float32)
         order = np.argsort(codes, kind="stable")
         firsts = np.flatnonzero(np.diff(codes[order], prepend=-1))
         total[codes[order][firsts]] += np.add.reduceat(a[order, None] * z[row[order]], firsts, axis=0)
@@ -308,10 +334,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at, hits = [], []
-                for i, t in enumerate(b.column(1)):
-                    for h in shared.value.found(words(t.as_py())):
-                        at.append(i)
-                        hits.append(h)
+                for i, found in enumerate(shared.value.search(t.as_py() for t in b.column(1))):
+                    at += [i] * len(found)
+                    hits += found
                 columns = [pa.array([h[k] for h in hits], x) for k, x in enumerate(
                     (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns],
@@ -332,7 +357,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                clean = [not shared.value.found(words(t.as_py())) for t in b.column(place)]
+                clean = [not found for found in shared.value.search(t.as_py() for t in b.column(place))]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
