@@ -61,8 +61,9 @@ def simple_graph(edges: DataFrame) -> DataFrame:
     return e.where(F.col("src") != F.col("dst")).dropDuplicates(["src", "dst"])
 
 
-def interaction_graph(accounts: DataFrame, key="account_id", limit: int | None = MAX_EDGES_PER_TIER):
-    """G01-G04 composed: (vertices, edges)."""
+def interaction_graph(accounts: DataFrame, key="account_id", limit: int | None = None):
+    """G01-G04 composed: (vertices, edges).  Every peer pair is an edge; `limit`
+    (G03) is the caller's choice."""
     tiers = follower_tiers(accounts, key)
     edges = simple_graph(sample_per_tier(peer_pairs(tiers), limit))
     return tiers.select("id"), edges
@@ -91,7 +92,8 @@ def degree_centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, max_iter: int = 100,
              tol: float = 1e-6, fixed_rounds: int | None = None, checkpoint_every: int = 1) -> DataFrame:
     """Power iteration; dangling mass spread evenly; stop when the L1 change
-    < n*tol (or after `fixed_rounds`).  One join + groupBy per round."""
+    < n*tol (or after `fixed_rounds`).  One join + groupBy per round.  Raises
+    RuntimeError if `max_iter` rounds do not get there."""
     deg = cut_lineage(degrees(vertices, edges))
     n = deg.count()
     e2 = cut_lineage(both_ways(edges))
@@ -113,6 +115,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, max_ite
                 break
         else:
             x = new.drop("old")
+    else:
+        if fixed_rounds is None and n:
+            raise RuntimeError(f"PageRank did not converge in {max_iter} rounds: change {err}, wanted below {n * tol}")
     return x.select("id", F.col("x").alias("pagerank"))
 
 
@@ -179,13 +184,13 @@ GRAPH_FEATURES = ["pagerank", "betweenness_centrality", "clustering_coefficient"
 
 
 def graph_features(vertices: DataFrame, edges: DataFrame, with_betweenness: bool = True,
-                   lp_rounds: int = 5) -> DataFrame:
-    """5 metrics per node, missing -> 0 (left joins on id)."""
+                   lp_rounds: int = 5, pivots: int | None = None) -> DataFrame:
+    """5 metrics per node, missing -> 0 (left joins on id).  `pivots` as in betweenness()."""
     out = vertices
     parts = [pagerank(vertices, edges), clustering(vertices, edges), degree_centrality(vertices, edges),
              community_size_ratio(vertices, label_propagation(vertices, edges, lp_rounds))]
     if with_betweenness:
-        parts.append(betweenness(vertices, edges))
+        parts.append(betweenness(vertices, edges, pivots))
     for p in parts:
         out = out.join(p, "id", "left")
     return out.select("id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in out.columns
@@ -202,38 +207,39 @@ def graph_risk(degree_centrality: Column | None = None, community_ratio: Column
 
 # --- G06: betweenness -------------------------------------------------------------------
 
-def betweenness(vertices: DataFrame, edges: DataFrame, k: int = 100, exact_limit: int = 200,
-                seed: int = 42) -> DataFrame:
-    """Normalised betweenness (Brandes 2001) from a pivot set: all nodes when
-    n <= exact_limit, else k pivots in md5(seed-id) order, rescaled by n/k.
+def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None, seed: int = 42) -> DataFrame:
+    """Normalised betweenness (Brandes 2001) from every node or, if the
+    caller asks for `pivots` (a number), from so many in md5(seed-id) order,
+    rescaled by n/pivots.
     Forward: BFS frontier (source, node, dist, sigma) one level per join, each
-    level checkpointed.  Backward: dependencies accumulated level by level from
-    the deepest one.  Work and state grow with pivots x nodes, not nodes^2."""
+    level checkpointed.  Edges go both ways, so a neighbour of a level lies in
+    it, in the one before or in the next: only those two are anti-joined.
+    Backward: dependencies accumulated level by level from the deepest one.
+    Work and state grow with sources x nodes."""
     n = vertices.count()
     if n <= 2:
         return vertices.select("id", F.lit(0.0).alias("betweenness_centrality"))
-    if n <= exact_limit:
-        pivots, kk = vertices.select(F.col("id").alias("s")), None
-    else:
-        pivots = vertices.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"))), "id") \
-                         .limit(k).select(F.col("id").alias("s"))
-        kk = k
+    sources, kk = vertices, None
+    if pivots is not None and pivots < n:
+        sources = vertices.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(pivots)
+        kk = pivots
     e2 = cut_lineage(both_ways(edges))
-    front = cut_lineage(pivots.select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
+    front = cut_lineage(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     levels = [front]
-    visited = front.select("s", "v")
     depth = 0
     while True:
+        near = front.select("s", F.col("v").alias("w"))
+        if depth:
+            near = near.unionByName(levels[-2].select("s", F.col("v").alias("w")))
         nxt = (front.join(e2.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v")
                .groupBy("s", "w").agg(F.sum("sigma").alias("sigma"))
-               .join(visited.select("s", F.col("v").alias("w")), ["s", "w"], "left_anti")
+               .join(near, ["s", "w"], "left_anti")
                .select("s", F.col("w").alias("v"), F.lit(depth + 1).alias("d"), "sigma"))
         nxt = cut_lineage(nxt)
         if nxt.isEmpty():
             break
         depth += 1
         levels.append(nxt)
-        visited = cut_lineage(visited.unionByName(nxt.select("s", "v")))
         front = nxt
     # backward: delta(s,v) = sum over children w of sigma_v / sigma_w * (1 + delta_w)
     deltas = []

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import explain as X
+from .clean import round_half_even
+from .graph import DEFAULT_GRAPH_RISK
 
 # Risk band edges.
 RISK_BANDS = [(0.85, "CRITICAL"), (0.60, "HIGH"), (0.30, "MEDIUM")]
 SIGNAL_WEIGHT = 0.20
-DEFAULT_GRAPH_RISK = 0.15
 
 
 def risk_band(p: Column) -> Column:
@@ -55,10 +56,10 @@ def result_record(df: DataFrame, prob_col="probability", pred_col="pred", graph_
     uname = display_username(F.col("username") if "username" in df.columns else None)
     # the annotation array is projected once; every consumer reads the column
     base = df.select(*[F.col(k) for k in key if k in df.columns], uname.alias("username"),
-                     lab.alias("label"), p.alias("_p"), F.round(gr, 4).alias("graph_risk"),
+                     lab.alias("label"), p.alias("_p"), round_half_even(gr, 4).alias("graph_risk"),
                      band.alias("risk_band"), ann.alias("_ann"))
     return base.select(
-        *[k for k in key if k in df.columns], "username", "label", F.round("_p", 4).alias("probability"),
+        *[k for k in key if k in df.columns], "username", "label", round_half_even(F.col("_p"), 4).alias("probability"),
         "graph_risk", "risk_band", confidence(F.col("_p")).alias("confidence"),
         F.transform("_ann", lambda a: a["description"]).alias("top_features"),
         F.transform("_ann", lambda a: F.struct(a["raw_name"].alias("raw_name"),
@@ -92,13 +93,13 @@ def recalibrate(df: DataFrame, prob_col="probability") -> DataFrame:
                               F.col("bio"))
     raw = F.col(prob_col)
     adj = 0.5 + SIGNAL_WEIGHT * (raw - 0.5) - F.col("_bonus")
-    adj = F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), adj)), 4)
+    adj = round_half_even(F.greatest(F.lit(0.01), F.least(F.lit(0.99), adj)), 4)
     out = df.withColumn("_bonus", bonus).withColumn("raw_model_probability", raw) \
         .withColumn(prob_col, adj)
     return (out.withColumn("label", label_text((F.col(prob_col) >= 0.5).cast("int")))
             .withColumn("risk_band", risk_band(F.col(prob_col)))
             .withColumn("confidence", confidence(F.col(prob_col)))
-            .withColumn("data_completeness", F.round(F.least(F.lit(0.55), 0.35 + F.col("_bonus")), 2))
+            .withColumn("data_completeness", round_half_even(F.least(F.lit(0.55), 0.35 + F.col("_bonus")), 2))
             .drop("_bonus"))
 
 

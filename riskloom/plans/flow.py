@@ -28,6 +28,7 @@ from ..session import cut_lineage
 from .common import acc
 
 GRAPH_NAMES = list(G.GRAPH_FEATURES)
+PIVOTS = 100
 
 
 def feature_table(spark, sf_dir, with_graph: bool = True) -> DataFrame:
@@ -36,8 +37,8 @@ def feature_table(spark, sf_dir, with_graph: bool = True) -> DataFrame:
     f = metadata_features(a, keep=a.columns, prefix="f_")
     if not with_graph:
         return f
-    v, e = G.interaction_graph(a)
-    gf = G.graph_features(v, e).withColumnRenamed("id", "account_id")
+    v, e = G.interaction_graph(a, limit=G.MAX_EDGES_PER_TIER)
+    gf = G.graph_features(v, e, pivots=PIVOTS).withColumnRenamed("id", "account_id")
     return f.join(gf, "account_id", "left").na.fill(0.0, GRAPH_NAMES)
 
 

@@ -37,19 +37,19 @@ def weights(spark, sf_dir):
 
 
 def fused(spark, sf_dir):
-    """Fit (weights, threshold) on the labelled rows of a materialised scored
-    table, then score every row lazily with the fitted constants."""
-    s = cut_lineage(scored(spark, sf_dir))
-    lab = s.where(F.col("label").isNotNull())
+    """Fit (weights, threshold) on label and probabilities of the labelled rows,
+    the only columns materialised, then score every row lazily with the fitted
+    constants; the reader's columns decide what is computed."""
+    s = scored(spark, sf_dir)
+    lab = cut_lineage(s.select("label", *PROB_COLS).where(F.col("label").isNotNull()))
     w = fitted_weights(vote_weights(lab, PROB_COLS))
-    s = soft_vote(s, PROB_COLS, w, "probability")
-    thr = optimal_threshold(s.where(F.col("label").isNotNull()), "probability").first()["threshold"]
-    return threshold_predict(s, "probability", thr)
+    thr = optimal_threshold(soft_vote(lab, PROB_COLS, w, "probability"), "probability").first()["threshold"]
+    return threshold_predict(soft_vote(s, PROB_COLS, w, "probability"), "probability", thr)
 
 
 def explained(spark, sf_dir):
     """fused + magnitude attributions over standardised features, ranked."""
-    s = fused(spark, sf_dir)
+    s = cut_lineage(fused(spark, sf_dir).drop("bio"))           # read twice: statistics, then rows
     fcols = [f"f_{n}" for n in FEATURE_NAMES]
     z = standardize(s, fcols, prefix="z", keep=s.columns)
     attr = X.magnitude_attributions(FEATURE_NAMES, [F.col(f"zf_{n}") for n in FEATURE_NAMES])

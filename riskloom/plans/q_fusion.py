@@ -113,8 +113,14 @@ def m26_truth_summary(spark, sf_dir):
     return M.truth_summary(_lab(spark, sf_dir))
 
 
-@query("m27_evaluate", with_accounts(f"""SELECT round(acc, 4) AS accuracy, round(auc, 4) AS roc_auc,
-    round({_f1('tp', 'fp', 'fn')}, 4) AS f1_fake, round({_f1('tn', 'fn', 'fp')}, 4) AS f1_genuine
+def _even(x, n):
+    """Half-even rounding to n decimals: ties go to the even neighbour, the rest as round()."""
+    s = f"(({x}) * 1e{n})"
+    return f"CASE WHEN {s} - floor({s}) = 0.5 AND floor({s}) % 2 = 0 THEN floor({s}) / 1e{n} ELSE round({x}, {n}) END"
+
+
+@query("m27_evaluate", with_accounts(f"""SELECT {_even('acc', 4)} AS accuracy, {_even('auc', 4)} AS roc_auc,
+    {_even(_f1('tp', 'fp', 'fn'), 4)} AS f1_fake, {_even(_f1('tn', 'fn', 'fp'), 4)} AS f1_genuine
   FROM (SELECT avg(CAST(label = pred AS DOUBLE)) AS acc, {_CNT} FROM fused WHERE label IS NOT NULL),
        (SELECT sum(pos * (neg_below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM (
           SELECT s, pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
@@ -175,9 +181,9 @@ _BONUS = ("(CASE WHEN followers / greatest(following, 1) BETWEEN 0.3 AND 5.0 THE
 _RECAL = f"""rc AS (SELECT account_id, raw_model_probability, {_BONUS} AS bonus
                    FROM (SELECT a.*, f.probability AS raw_model_probability
                          FROM accounts a JOIN fused f ON a.account_id = f.account_id)),
-rc2 AS (SELECT account_id, raw_model_probability, bonus,
-               round(greatest(0.01, least(0.99, 0.5 + 0.2 * (raw_model_probability - 0.5) - bonus)), 4) AS probability
-        FROM rc)"""
+rc2 AS (SELECT account_id, raw_model_probability, bonus, {_even('adjusted', 4)} AS probability
+        FROM (SELECT *, greatest(0.01, least(0.99, 0.5 + 0.2 * (raw_model_probability - 0.5) - bonus)) AS adjusted
+              FROM rc))"""
 
 
 def _recal(spark, sf_dir):
@@ -213,7 +219,7 @@ def r03_recalibrate(spark, sf_dir):
 
 
 @query("r04_completeness", with_accounts(
-    "SELECT account_id, round(least(0.55, 0.35 + bonus), 2) AS data_completeness FROM rc2", SCORED_SQL, _RECAL))
+    f"SELECT account_id, {_even('least(0.55, 0.35 + bonus)', 2)} AS data_completeness FROM rc2", SCORED_SQL, _RECAL))
 def r04_completeness(spark, sf_dir):
     return _recal(spark, sf_dir).select("account_id", "data_completeness")
 
