@@ -8,11 +8,15 @@ subquery, so nothing is collected to the driver and no cross join is planned.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import entropy
+from ..session import cut_lineage
+from .ordering import running_totals
 
 # Fixed values that must equal the reference.
 LEET_FROM = "013457@$"          # 0->o 1->i 3->e 4->a 5->s 7->t @->a $->s
@@ -93,18 +97,43 @@ def strip_strings(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 # --- P10: IQR capping ------------------------------------------------------------
 
+def exact_quantiles(df: DataFrame, cols: list[str], shares: tuple[float, ...]) -> dict[str, list[float] | None]:
+    """Interpolated quantiles of each column's non-null values, None without any.
+    Values are counted per (column, value) and ranked by a distributed prefix
+    sum, so neither one column nor one value gathers in a task; at most two
+    values per column and share reach the driver."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x"))
+                                for i, c in enumerate(cols)]))
+    counts = (df.select(cells.alias("c")).select("c.i", "c.x").where(F.col("x").isNotNull())
+              .groupBy("i", "x").agg(F.count(F.lit(1)).alias("n")))
+    ranked = cut_lineage(running_totals(counts, ["x"], ["n"], "i"))
+    sizes = {r["i"]: r["n"] for r in ranked.groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    places = {(i, math.floor(s * (n - 1)) + up) for i, n in sizes.items() for s in shares for up in (0, 1)}
+    if not places:
+        return dict.fromkeys(cols)
+    wanted = df.sparkSession.createDataFrame(sorted(places), "i int, k long")
+    held = ranked.join(F.broadcast(wanted), "i").where(
+        (F.col("k") >= F.col("cum_n")) & (F.col("k") < F.col("cum_n") + F.col("n"))).select("i", "k", "x").collect()
+    at = {(r["i"], r["k"]): r["x"] for r in held}
+    out: dict[str, list[float] | None] = {}
+    for i, c in enumerate(cols):
+        out[c] = None
+        if i in sizes:
+            spots = [s * (sizes[i] - 1) for s in shares]
+            lows = [math.floor(p) for p in spots]
+            out[c] = [at[i, k] if p == k or at[i, k] == at[i, k + 1] else (k + 1 - p) * at[i, k] + (p - k) * at[i, k + 1]
+                      for p, k in zip(spots, lows)]
+    return out
+
+
 def iqr_bounds(df: DataFrame, cols: list[str], k: float = 5.0, approx: bool = False,
                accuracy: int = 100_000) -> dict:
-    """Fit: one aggregate row of (Q1, Q3) per column -> {col: (lo, hi)}.
-    Exact `percentile` keeps a value->count map (bounded by distinct values);
-    `approx=True` switches to the mergeable sketch for continuous columns at scale."""
-    fields = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.75], accuracy) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
-        fields.append(q.alias(c))
-    row = df.agg(*fields).first()
+    """Fit (Q1, Q3) per column -> {col: (lo, hi)}: exact_quantiles, or with
+    `approx=True` the mergeable sketch in one aggregate."""
+    if approx:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], accuracy).alias(c) for c in cols]).first()
+    else:
+        row = exact_quantiles(df, cols, (0.25, 0.75))
     out = {}
     for c in cols:
         q1, q3 = (row[c] or [None, None])

@@ -32,10 +32,10 @@ def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
              .rowsBetween(Window.unboundedPreceding, -1))
     offs = tot.select(*gkeys, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}")
                                 for c in sum_cols])
-    # `offs` has at most n_parts + groups rows: bounded, safe to broadcast.
+    # `offs` has at most n_parts + groups rows; no hint, since groups may be many: Spark broadcasts it by its size
     w_in = Window.partitionBy(*gkeys).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    out = r.join(F.broadcast(offs), gkeys, "left")
+    out = r.join(offs, gkeys, "left")
     for c in sum_cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w_in), F.lit(0)))
     return out.drop("_pid", *[f"_o_{c}" for c in sum_cols])

@@ -212,3 +212,39 @@ def test_knn_ties_go_to_the_smallest_keys(spark):
     d = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "id long, v array<double>").repartition(5)
     got = knn_exact(d.where("id = 150"), d, 5, "id", "id", "v")
     assert [r.rid for r in got.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from riskloom.operators.clean import exact_quantiles
+    rng = np.random.default_rng(3)
+    rows = [(float(x) if rng.random() > .1 else None, int(y), 7.0 if k % 3 else None, None)
+            for k, (x, y) in enumerate(zip(rng.normal(size=401), rng.integers(0, 4, 401)))]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double").repartition(6)
+    shares = (0.0, 0.25, 0.5, 0.75, 1.0)
+    got = exact_quantiles(df, ["a", "b", "c", "d"], shares)
+    for c in ("a", "b", "c"):
+        want = df.agg(F.percentile(c, F.array(*[F.lit(s) for s in shares]))).first()[0]
+        assert np.allclose(got[c], want, rtol=1e-12, atol=0)
+    assert got["d"] is None
+    assert exact_quantiles(df.limit(0), ["a"], shares) == {"a": None}
+    assert exact_quantiles(spark.createDataFrame([(2.5,)], "a double"), ["a"], shares) == {"a": [2.5] * 5}
+
+
+def test_graph_keeps_every_peer_pair_and_pivots_are_the_callers(spark):
+    a = spark.createDataFrame([(i, 100) for i in range(400)] + [(400, 0)], "account_id long, followers long")
+    v, e = G.interaction_graph(a)
+    assert e.count() == sum(min(9, 399 - i) for i in range(400))
+    assert G.interaction_graph(a, limit=200)[1].count() == 200
+    n = 9
+    path = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long")
+    nodes = spark.range(n)
+    every = {r.id: r.betweenness_centrality for r in G.betweenness(nodes, path).collect()}
+    assert every == {r.id: r.betweenness_centrality for r in G.betweenness(nodes, path, pivots=n).collect()}
+    assert abs(every[4] - 2 * 16 / ((n - 1) * (n - 2))) < 1e-12
+
+
+def test_pagerank_says_when_it_does_not_converge(spark):
+    import pytest
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "src long, dst long")
+    with pytest.raises(RuntimeError, match="did not converge"):
+        G.pagerank(spark.range(4), e, max_iter=1)
