@@ -1,7 +1,8 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 States are the contexts of up to two words.  A context is a candidate if
-training holds it at least MIN_CONTEXT times; it is retained if its own
+training holds it at least MIN_CONTEXT times (one seen once has a gain of 0, so
+only the divergence test chooses); it is retained if its own
 next-word distribution predicts its training words better than the shorter
 context's does, each word left out of the counts that predict it (a divergence
 test: the sum of the log ratios must reach MIN_GAIN).  Next-word distributions
@@ -36,10 +37,10 @@ from .common import read_table, written
 from .langid import _pieces, held_out
 
 ALPHA = 0.1
-MIN_CONTEXT = 256
+MIN_CONTEXT = 2
 MIN_GAIN = 3.0
 PRIOR = 0.8
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 23
 BUCKET_ROWS = 1 << 20
 FOLDS, FOLD = 10, 0
 _END = xxhash.xxh64_intdigest(b"")                               # no word is empty

@@ -70,6 +70,18 @@ def test_blocks_and_buckets_do_not_change_scores(spark):
     assert any(r.score > r.base_score for r in got.values())
 
 
+def test_contexts_seen_a_few_times_are_states(spark):
+    """A passage that training holds a few times predicts its next words; a context seen once has no gain."""
+    train = [i for i in range(300) if crc(i) % 10]
+    ask = next(i for i in range(10000, 10200) if crc(i) % 10 == 0)
+    rows = [(i, f"x{i} y{i % 40} " + ("amber falcon crossed" if k < 6 else f"z{i % 30} x{i}")) for k, i in enumerate(train)]
+    rows.append((ask, "amber falcon crossed"))
+    got = {r.doc_id: r for r in lm.score_texts(docs(spark, rows)).collect()}
+    same(got, brute(rows, 2))
+    same(got, brute(rows, 1))
+    assert got[ask].score > got[ask].base_score + 1
+
+
 def test_distributions_add_up_to_one(spark):
     """Held-out texts that differ in their last word only: its probabilities, the one unknown word's too, sum to 1."""
     train = [i for i in range(400) if crc(i) % 10]
