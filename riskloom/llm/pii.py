@@ -1,12 +1,14 @@
 """Personal data: base patterns and bootstrapped contextual extraction.
 
 Base spans come from four regular expressions (leftmost, non-overlapping per
-kind).  They seed the bootstrap: the two words before an identifier-like token
-are a lexical pattern; patterns and tokens form a bipartite graph over the
-whole corpus, scored in rounds.  A pattern's confidence for a kind is the mean
-score of its distinct tokens, a token's score the noisy-or of its confident
-patterns; tokens that confident patterns introduce and no base expression
-knows become further spans of that kind.
+kind).  They seed the bootstrap: the word before an identifier-like token and
+the two words before it are lexical patterns, with a mark for the start of a
+text or line and the class of an identifier in place of a word; patterns and
+tokens form a bipartite graph over the whole corpus, scored in rounds until
+nothing changes.  A pattern's confidence for a kind is the mean score of its
+distinct tokens, a token's score the noisy-or of its confident patterns; tokens
+that confident patterns introduce and no base expression knows become further
+spans of that kind.
 
 Only DataFrame operations.  The expressions below are written so that Java's
 matcher neither recurses nor restarts inside a run of one class (possessive
@@ -32,12 +34,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-_CONTEXT = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$"
-#: Code points before a token that are searched for its two context words.
-CONTEXT_CHARS = 128
+#: The last two words of a stretch, found in the reversed stretch.
+_CONTEXT = r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]*+)([\x20\x09-\x0D]*+)([^\x20\x09-\x0D]*+)"
+#: Start of a text or line, in patterns; no word is white space, none before a token has a digit or an @.
+_START = "\n"
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
-ROUNDS = 3
 _BIN = 64
 
 
@@ -70,17 +72,37 @@ def text_key(text: Column) -> list[Column]:
 
 
 def _pieces(text: Column, kind: str, pattern: str, may: Column) -> Column:
-    """struct(kind, pieces): each match with the length and the end of the stretch before it."""
+    """struct(kind, pieces): each match with the length of the stretch before it, a token also with its last words, reversed."""
     def piece(gap: Column, match: Column) -> Column:
-        return F.struct(F.length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"),
-                        match.alias("match"))
+        words = F.regexp_extract(F.reverse(gap), _CONTEXT, 0) if kind == "token" else F.lit("")
+        return F.struct(F.length(gap).alias("gap"), words.alias("before"), match.alias("match"))
 
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), piece)
     return F.struct(F.lit(kind).alias("kind"), F.when(may, pieces).alias("pieces"))
 
 
+def _patterns(order: Window) -> Column:
+    """The patterns of a token: the word before it, the two words before it and,
+    at a line's first word, the mark with that word.  The mark stands for the
+    word before a text's first, the class of an identifier for the identifier."""
+    def word(i: int) -> Column:
+        return F.lower(F.reverse(F.regexp_extract("before", _CONTEXT, i)))
+
+    def named(match: Column) -> Column:
+        return (F.when(match.isNull(), _START).when(F.contains(match, F.lit("@")), "@")
+                .when(match.rlike(r"^[^0-9]*+[0-9]++(?:\.[0-9]++){3}(?![.]?[0-9])"), "0.0.0.0").otherwise("0"))
+
+    last, older = word(1), word(3)
+    prev, prev_last = F.lag("match").over(order), F.lag(last).over(order)
+    two = F.concat_ws(" ", F.when(older != "", older).otherwise(named(prev)), last)
+    line = F.when(F.regexp_extract("before", _CONTEXT, 2).rlike("[\n\r]"), F.concat_ws(" ", F.lit(_START), last))
+    after = F.concat_ws(" ", F.when(prev_last != "", prev_last).otherwise(named(F.lag("match", 2).over(order))), named(prev))
+    return (F.when(last != "", F.array_distinct(F.array_compact(F.array(last, two, line))))
+            .when(prev.isNotNull(), F.array(after)).otherwise(F.array().cast("array<string>")))
+
+
 def matches(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(u1, u2, kind, start, end, match, before) of every distinct text's
+    """(u1, u2, kind, start, end, match, patterns) of every distinct text's
     matches, those of kind token being identifier-like words (with a digit or
     an @).  Positions are running sums over a text's pieces."""
     t = F.col("t")
@@ -90,32 +112,33 @@ def matches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = (docs.select(docs[text_col].alias("t")).select(*text_key(t), F.inline(F.array(*kinds)))
             .select("u1", "u2", "kind", F.posexplode("pieces").alias("pos", "p")).filter("p.match is not null")
             .select("u1", "u2", "kind", "pos", "p.gap", "p.before", "p.match").distinct())
-    upto = Window.partitionBy("u1", "u2", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto).cast("int"))
+    order = Window.partitionBy("u1", "u2", "kind").orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    placed = (rows.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto).cast("int"))
+              .withColumn("patterns", F.when(F.col("kind") == "token", _patterns(order))))
     valid = F.lit(True)
     for k in KINDS:
         valid = F.when(F.col("kind") == k, _valid(k, F.col("match"))).otherwise(valid)
     return placed.filter(valid).select("u1", "u2", "kind", (F.col("end") - F.length("match")).alias("start"), "end",
-                                       "match", "before")
+                                       "match", "patterns")
 
 
 def _bins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bin", F.explode(F.expr(f"sequence(int(start / {_BIN}), int((end - 1) / {_BIN}))")))
 
 
-def bootstrap(found: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-              rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(found: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """found: matches().  Returns (u1, u2, kind, start, end) of the identifiers
-    that confident patterns add."""
+    that confident patterns add.  No score falls from one round to the next, so
+    the rounds end."""
     key = ["u1", "u2"]
     base = found.filter("kind <> 'token'").select(*key, "start", "end", "kind", F.col("match").alias("entity"))
     tokens = (found.filter("kind = 'token'")
               .withColumn("lead", F.length("match") - F.length(F.ltrim("match", F.lit("([{<\"'"))))
               .withColumn("token", F.btrim("match", F.lit("([{<\"'.,;:!?)]}>")))
-              .withColumn("pattern", F.lower(F.regexp_extract("before", _CONTEXT, 1)))
-              .filter((F.col("token") != "") & (F.col("pattern") != "") & ~F.col("pattern").rlike("[0-9@]"))
+              .filter((F.col("token") != "") & (F.size("patterns") > 0))
               .select(*key, (F.col("start") + F.col("lead")).alias("start"),
-                      (F.col("start") + F.col("lead") + F.length("token")).alias("end"), "token", "pattern"))
+                      (F.col("start") + F.col("lead") + F.length("token")).alias("end"), "token", "patterns"))
     tokens = cut_lineage(tokens)
     over = (_bins(tokens).select(*key, "bin", "start", "end")
             .join(_bins(base).select(*key, "bin", F.col("start").alias("s"), F.col("end").alias("e"), "kind", "entity"),
@@ -126,12 +149,13 @@ def bootstrap(found: DataFrame, min_support: int = MIN_SUPPORT, min_confidence:
     marked = cut_lineage(tokens.join(over, [*key, "start", "end"], "left").filter("seed is null or seed.s >= start")
                          .withColumn("known", F.col("seed.kind"))
                          .withColumn("token", F.coalesce("seed.entity", "token")).drop("seed"))
+    marked = marked.withColumn("pattern", F.explode("patterns")).drop("patterns")
     edges = cut_lineage(marked.groupBy("pattern", "token").agg(F.min("known").alias("known")))
     seeds = edges.filter("known is not null").select("token", F.col("known").alias("kind")).distinct()
     total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
     scores = seeds.withColumn("score", F.lit(1.0))
-    confident = None
-    for _ in range(rounds):
+    before, now = None, (-1, 0.0)
+    while before is None or now[0] != before[0] or now[1] - before[1] > 1e-9 * now[1]:
         confident = cut_lineage(
             edges.select("pattern", "token").join(scores, "token").groupBy("pattern", "kind")
             .agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("support")).join(total, "pattern")
@@ -142,6 +166,8 @@ def bootstrap(found: DataFrame, min_support: int = MIN_SUPPORT, min_confidence:
                      .agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score")))
         scores = cut_lineage(seeds.withColumn("score", F.lit(1.0))
                              .unionByName(found_now.filter(F.col("score") >= min_confidence)))
+        state = scores.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()
+        before, now = now, (state["n"], state["s"])
     best = (scores.join(seeds.select("token").distinct(), "token", "left_anti")
             .groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")))
     return (marked.filter("known is null").join(confident.select("pattern", "kind"), "pattern")

@@ -82,6 +82,39 @@ def test_confident_contexts_find_unseen_identifiers(spark):
     assert all(got[i][1] == got[i][0] and len(got[i][0]) == 1 for i in range(12))
 
 
+def test_one_word_labels_find_unseen_identifiers(spark):
+    """Labels at the start of a text or line and in label lists, where the word before the label varies."""
+    rows = [(i, f"w{'abcdefghijkl'[i]} note\nPhone: +1 (300) 555-{1000 + i}") for i in range(12)]
+    rows += [(50, "Phone: 0300-555-7777"), (51, "Email: a@b.c Phone: 0300-555-8888 end"), (52, "some\nPhone: 0300-555-9999"),
+             (53, "Room: 0300-555-1111")]
+    got, text = found(docs(spark, rows)), dict(rows)
+    for i, want in ((50, "0300-555-7777"), (51, "0300-555-8888"), (52, "0300-555-9999")):
+        assert [text[i][s:e] for k, s, e in got[i][1] if k == "phone"] == [want]
+    assert got[53][1] == []
+
+
+def test_class_of_the_identifier_before_is_a_word(spark):
+    rows = [(i, f"{w} u{w}@x.org tel +1 (300) 555-{1000 + i}") for i, w in enumerate("abcdefghijkl")]
+    rows += [(100 + i, f"x{w} tel {i}") for i, w in enumerate("abcdefghijkl")] + [(50, "q v@y.org tel 0300-555-7777")]
+    got, text = found(docs(spark, rows)), dict(rows)
+    assert [text[50][s:e] for k, s, e in got[50][1] if k == "phone"] == ["0300-555-7777"]
+    assert all(got[100 + i][1] == [] for i in range(12))
+
+
+def test_rounds_go_on_until_no_token_is_added(spark):
+    """Each label shares its tokens with the next: six hops from the seeds."""
+    names = ["la", "lb", "lc", "ld", "le", "lf", "lg"]
+    rows = [(i, f"x la: +1 (300) 555-{1000 + i}") for i in range(30)]
+    tokens = lambda h: [f"0{h}00-555-{7000 + i}" for i in range(5)]
+    for h, name in enumerate(names):
+        rows += [(100 * (h + 1) + i, f"x {name}: {t}") for i, t in enumerate(tokens(h))]
+        if h:                                                    # the tokens of the label before, which make it confident
+            rows += [(100 * (h + 1) + 50 + i, f"x {name}: {t}") for i, t in enumerate(tokens(h - 1) + tokens(h)[:1])]
+            rows += [(100 * (h + 1) + 60 + j, f"x {name}: {t}") for j, t in enumerate(f"+1 (300) 555-{h}{100 + i}" for i in range(20))]
+    got = found(docs(spark, rows))
+    assert all([k for k, *_ in got[100 * (h + 1) + i][1]] == ["phone"] for h in range(7) for i in range(5))
+
+
 def test_odd_rows(spark):
     got = found(docs(spark, ODD))
     texts = {r[0]: r[1] for r in ODD}
