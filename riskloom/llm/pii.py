@@ -33,7 +33,12 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A group of digits of a spaced identifier: brackets, no part of a word and no IP address.
+_GROUP = (r"\(*+(?![0-9]++(?:\.[0-9]++){3}(?![.]?[0-9]))[0-9]++(?:[.()/-]++[0-9]++)*+\)*+"
+          r"(?=[.,;:!?\]}>\x22']*+(?![^\x20\x09-\x0D]))")
+#: Groups joined by single spaces and hyphens, or else one word with a digit or an @.
+_TOKEN = (r"(?<![^\x20\x09-\x0D])(?:[\[{<(\x22']*+\+?+" + _GROUP + r"(?:\x20(?:-\x20)?+" + _GROUP + r")*+"
+          r"|[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]*+")
 #: The last two words of a stretch, found in the reversed stretch.
 _CONTEXT = r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]*+)([\x20\x09-\x0D]*+)([^\x20\x09-\x0D]*+)"
 #: Start of a text or line, in patterns; no word is white space, none before a token has a digit or an @.
@@ -104,7 +109,8 @@ def _patterns(order: Window) -> Column:
 def matches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(u1, u2, kind, start, end, match, patterns) of every distinct text's
     matches, those of kind token being identifier-like words (with a digit or
-    an @).  Positions are running sums over a text's pieces."""
+    an @) and runs of groups of digits.  Positions are running sums over a
+    text's pieces."""
     t = F.col("t")
     digit = t.rlike("[0-9]")
     may = {"email": F.contains(t, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(t, F.lit("+"))}
@@ -127,6 +133,10 @@ def _bins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bin", F.explode(F.expr(f"sequence(int(start / {_BIN}), int((end - 1) / {_BIN}))")))
 
 
+def _count(col: str, char: str) -> Column:
+    return F.length(col) - F.length(F.replace(F.col(col), F.lit(char), F.lit("")))
+
+
 def bootstrap(found: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """found: matches().  Returns (u1, u2, kind, start, end) of the identifiers
     that confident patterns add.  No score falls from one round to the next, so
@@ -136,6 +146,14 @@ def bootstrap(found: DataFrame, min_support: int = MIN_SUPPORT, min_confidence:
     tokens = (found.filter("kind = 'token'")
               .withColumn("lead", F.length("match") - F.length(F.ltrim("match", F.lit("([{<\"'"))))
               .withColumn("token", F.btrim("match", F.lit("([{<\"'.,;:!?)]}>")))
+              .withColumn("size", F.length("token"))
+              # brackets that pair with one inside belong to the identifier
+              .withColumn("open", _count("token", "(") - _count("token", ")"))
+              .withColumn("less", F.when((F.col("open") < 0) & (F.substr("match", F.col("lead"), F.lit(1)) == "("), 1).otherwise(0))
+              .withColumn("more", F.when((F.col("open") > 0) & (F.substr("match", F.col("lead") + F.col("size") + 1, F.lit(1)) == ")"), 1)
+                          .otherwise(0))
+              .withColumn("lead", F.col("lead") - F.col("less"))
+              .withColumn("token", F.substr("match", F.col("lead") + 1, F.col("size") + F.col("less") + F.col("more")))
               .filter((F.col("token") != "") & (F.size("patterns") > 0))
               .select(*key, (F.col("start") + F.col("lead")).alias("start"),
                       (F.col("start") + F.col("lead") + F.length("token")).alias("end"), "token", "patterns"))

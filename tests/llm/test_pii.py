@@ -93,6 +93,17 @@ def test_one_word_labels_find_unseen_identifiers(spark):
     assert got[53][1] == []
 
 
+def test_discovered_spans_cover_spaced_identifiers(spark):
+    rows = [(i, f"please call us +1 (300) 555-{1000 + i} today") for i in range(40)]
+    want = ["020 7946 0958", "(020) 7946 - 0959", "020 (7946)", "4111 1111 1111 1112", "020-7946 0960", "020 7946"]
+    rows += [(50, f"please call us {want[0]}"), (51, f"please call us {want[1]}, or come"), (52, f"(please call us {want[2]})"),
+             (53, f"please call us {want[3]}. 7 days"), (54, f"please call us {want[4]} 24x7"), (55, f"please call us {want[5]} 10.0.0.1 now")]
+    got, text = found(docs(spark, rows)), dict(rows)
+    for i, w in enumerate(want):
+        assert [text[50 + i][s:e] for k, s, e in got[50 + i][1] if k == "phone"] == [w]
+    assert [k for k, *_ in got[55][0]] == ["ip"]
+
+
 def test_class_of_the_identifier_before_is_a_word(spark):
     rows = [(i, f"{w} u{w}@x.org tel +1 (300) 555-{1000 + i}") for i, w in enumerate("abcdefghijkl")]
     rows += [(100 + i, f"x{w} tel {i}") for i, w in enumerate("abcdefghijkl")] + [(50, "q v@y.org tel 0300-555-7777")]
