@@ -3,14 +3,16 @@
 1. Benchmark items are worked through in blocks of at most BLOCK_ITEMS; a
    block's words are the vocabulary, with document frequencies counted over all
    documents.  Its terms are the words found in at most TERM_SHARE of the
-   documents and, whatever their frequency, each item's rarest ones.
+   documents and, whatever their frequency, the rarest ones of each item and
+   of each part of an item longer than a passage.
 2. A randomised SVD of the TF-IDF passages of all documents and of the block's
    items gives a latent basis.  Passages with the same terms are counted once
    with their number, before and after the shuffle; Spark multiplies by them, the
    driver holds vocabulary x rank matrices.  The items together weigh as much as
    all passages together, at any size, so the basis spans them.
 3. Every document is searched for passages, of two lengths from each of its
-   terms on, whose latent cosine with an item reaches MIN_COSINE.
+   terms on, whose latent cosine with an item or with a part of a long item
+   reaches MIN_COSINE.
 4. A candidate counts if the longest common subsequence of words covers
    MIN_COVERED of the item within a stretch of about its length, and if most of
    the item's answer words (its rarest ones) are in that stretch.
@@ -39,6 +41,8 @@ TERM_SHARE, LEAST_TERMS = 0.01, 8
 MIN_WORDS = 5
 #: Words per passage; documents are fitted in passages of the longer one.
 LENGTHS = (24, 64)
+#: Words from one part of a long item to the next (parts are as long as the longer passage).
+STEP = 32
 MIN_COSINE = 0.4
 MIN_COVERED = 0.7
 ANSWER_SHARE, ANSWER_FOUND = 0.25, 0.6
@@ -70,6 +74,14 @@ def lcs(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+def parts_of(item: list) -> list[list]:
+    """The item and, if it is longer than a passage, its overlapping parts."""
+    n = LENGTHS[-1]
+    if len(item) <= n:
+        return [item]
+    return [item, *(item[at:at + n] for at in (*range(0, len(item) - n, STEP), len(item) - n))]
+
+
 class Block:
     """Some benchmark items with their latent space."""
 
@@ -85,20 +97,23 @@ class Block:
         df[list(found)] = list(found.values())
         idf = np.log((1 + docs) / (1 + df)) + 1
         rarest = [sorted(set(w), key=lambda x: (-idf[self.vocab[x]], x)) for w in self.items]
+        indexed = [sorted(set(w), key=lambda x: (-idf[self.vocab[x]], x)) for item in self.items for w in parts_of(item)]
         self.answers = [x[:max(2, math.ceil(ANSWER_SHARE * len(x)))] for x in rarest]
         term = df <= TERM_SHARE * docs
-        term[[self.vocab[w] for x in rarest for w in x[:LEAST_TERMS]]] = True
+        term[[self.vocab[w] for x in indexed for w in x[:LEAST_TERMS]]] = True
         self.weight = np.where(term, idf, 0.0)
         self.weight[0] = 0
         # fewer terms than this in a passage cannot cover enough of any item
-        self.least = min(3, *(math.ceil(MIN_COVERED * min(len(x), LEAST_TERMS)) for x in rarest))
+        self.least = min(3, *(math.ceil(MIN_COVERED * min(len(x), LEAST_TERMS)) for x in indexed))
 
     def codes(self, tokens: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocab.get, tokens, repeat(0)), np.int64, len(tokens))
 
     def set_basis(self, basis: np.ndarray) -> None:
         self.project = (self.weight[:, None] * basis).astype(np.float32)
-        z = np.stack([self.project[self.codes(w)].sum(0) for w in self.items])
+        indexed = [(i, w) for i, item in enumerate(self.items) for w in parts_of(item)]
+        self.owner = [i for i, _ in indexed]
+        z = np.stack([self.project[self.codes(w)].sum(0) for _, w in indexed])
         self.latent = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).T
 
     def candidates(self, codes: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
@@ -118,7 +133,7 @@ class Block:
                 cosine = z @ self.latent
                 for p, i in zip(*np.nonzero(cosine >= MIN_COSINE)):
                     first = int(own[some[p]])
-                    out.setdefault(int(i), []).append((first, min(len(codes), first + length), float(cosine[p, i])))
+                    out.setdefault(self.owner[i], []).append((first, min(len(codes), first + length), float(cosine[p, i])))
         return out
 
     def search(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, float, float, int, int]]]:
@@ -154,6 +169,8 @@ class Block:
             tried = set()
             for start, end, cosine in passages:
                 middle, reach = (start + end) // 2, max(len(item), (end - start) // 2)
+                if len(item) > LENGTHS[-1]:                      # passages near each other share a stretch that holds all of theirs
+                    middle, reach = middle // STEP * STEP, reach + STEP
                 lo, hi = max(0, middle - reach), min(len(tokens), middle + reach)
                 if (lo, hi) in tried:
                     continue

@@ -66,6 +66,29 @@ def test_paraphrases_are_found_and_clean_texts_stay(spark):
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_long_items_are_found(spark):
+    """Verbatim items of 500 and 2000 words, of rare and of frequent words."""
+    rng = random.Random(5)
+    frequent = [f"f{i}" for i in range(600)]
+    text = lambda n: [rng.choice(frequent) for _ in range(n)]
+    items = [[f"q{n}x{i}" for i in range(n)] for n in (500, 2000)] + [text(500), text(2000)]
+    rows = [(i, " ".join(text(1500))) for i in range(60)]
+    rows += [(1000 + k, " ".join(text(90) + w + text(70))) for k, w in enumerate(items)]
+    rows += [(2000 + k, " ".join(w[:len(w) // 2])) for k, w in enumerate(items)]
+    bench = spark.createDataFrame([(k, " ".join(w), 1, 1) for k, w in enumerate(items)], BENCH)
+    got = {(r.doc_id, r.item_id): r.covered for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1000 + k, k): 1.0 for k in range(4)}
+    left = decontam.without_contaminated(docs(spark, rows), bench).collect()
+    assert {r.doc_id for r in left} == {i for i, _ in rows} - {1000, 1001, 1002, 1003}
+
+
+def test_parts_cover_an_item():
+    for n in (5, 64, 65, 96, 97, 500):
+        whole, *parts = decontam.parts_of(list(range(n)))
+        assert whole == list(range(n)) and all(len(p) == 64 for p in parts) and bool(parts) == (n > 64)
+        assert not parts or {x for p in parts for x in p} == set(whole)
+
+
 def test_basis_spans_the_items(spark):
     _, _, items, clean = _world(8)
     block = decontam.Block([(k, [w.encode() for w in x]) for k, x in enumerate(items)])
