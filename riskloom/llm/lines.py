@@ -20,8 +20,9 @@ from .common import SPACE, ascii_lower, cut_lineage, read_table, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-BATCHES = 3
 FANOUT = 4
+#: More than the fanout: runs are compacted and a later batch meets the compacted run.
+BATCHES = FANOUT + 2
 
 
 def line_key(line: Column) -> Column:

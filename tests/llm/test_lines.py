@@ -54,6 +54,19 @@ def test_runs_are_compacted_and_exact(spark):
     assert sorted(map(tuple, runs.frequent().collect())) == [(1, 1), (2, 2)]
 
 
+def test_query_compacts_runs(spark, monkeypatch):
+    made = []
+
+    class Seen(lines.LineRuns):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(lines, "LineRuns", Seen)
+    lines.op10_line_dedup(spark, "/root/testdata/sf0.001")
+    assert [len(x) for x in made[0].levels] == [2, 1]
+
+
 def test_no_python_on_the_main_path(spark):
     plan = lines.op10_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
