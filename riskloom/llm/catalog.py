@@ -12,6 +12,7 @@ from .quality import op7_quality
 from .simhash import op1_simhash_near_dedup
 from .tokenfile import op6_token_output
 from .topk import OP8_SQL, op8_exact_top_k
+from .toxicity import op13_toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES = {

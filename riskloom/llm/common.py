@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir, scratch_path
 
-__all__ = ["ascii_lower", "cut_lineage", "ensure_checkpoint_dir", "parts", "read_table", "written"]
+__all__ = ["ascii_lower", "bounded_sample", "cut_lineage", "ensure_checkpoint_dir", "parts", "read_table", "written"]
 
 #: ASCII white space as the contracts define it: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -39,3 +39,16 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """All rows, or if there are more than `most` the `most` that a seeded hash of
+    `key` puts first.  Only about `most` rows reach the final sort: those above
+    a hash limit set by the number of rows are left out before it."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    ranked = rows.withColumn("_rank", F.xxhash64(F.lit(seed), F.col(key)))
+    limit = int(-(1 << 63) + (1 << 64) * min(1.0, 1.1 * most / n + 10 * (most ** 0.5) / n)) - 1
+    near = ranked.filter(F.col("_rank") <= F.lit(min(limit, (1 << 63) - 1)).cast("long"))
+    return near.orderBy("_rank", key).limit(most).drop("_rank")
