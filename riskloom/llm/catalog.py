@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_tokenizer_alignment
 from .decontam import op5_decontamination
 from .langid import op4_language_id
 from .lines import OP10_SQL, op10_line_dedup
@@ -10,6 +11,7 @@ from .mixing import op2_mixing
 from .pii import op3_pii
 from .quality import op7_quality
 from .simhash import op1_simhash_near_dedup
+from .spelling import op11_spelling_variants
 from .tokenfile import op6_token_output
 from .topk import OP8_SQL, op8_exact_top_k
 from .toxicity import op13_toxicity
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_toxicity": op13_toxicity,
 }
 
