@@ -1,12 +1,15 @@
 """SimHash near-duplicates found in BK-trees.
 
 1. Every text becomes a 64-bit fingerprint (Arrow batches, one text at a time).
-2. Distinct fingerprints are sharded by exact agreement: two fingerprints at r
-   or fewer differing bits agree on at least one of r + 1 bit blocks, so each
-   is put into r + 1 shards (agreed bits, their value).  A shard above
-   `shard_rows` is divided again over r + 1 blocks of the bits not agreed yet;
-   after a few rounds so few bits are free that the shard is bounded by them.
-   No shard is dropped or capped.
+2. Distinct fingerprints are sharded by exact agreement.  Of n bit blocks two
+   fingerprints at r or fewer differing bits agree on at least n - r, so each is
+   put into one shard for every choice of n - r blocks (the blocks, its bits
+   there).  The first level has n = r + 1.  Members of a shard above
+   `shard_rows` are dealt anew, once, by more and smaller blocks that agree on
+   more bits, whatever shards they came from: a level writes at most C(n, r)
+   rows a fingerprint, whatever the data.  A shard that is still too large at
+   the last level is searched as pairs of bounded parts.  No shard is dropped
+   or capped.
 3. In each shard a BK-tree (children keyed by their Hamming distance to the
    parent) is built while it is searched: only edges within the radius of the
    distance to the node are followed.  A shard returns one edge per fingerprint
@@ -20,6 +23,8 @@ with the corpus.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +39,10 @@ from .components import connected_components
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SHARD_ROWS = 1024
+#: Levels stop before a fingerprint would be in more shards than this.
+MAX_MASKS = 128
+#: Large shards whose names are broadcast (24 bytes each); with more of them Spark chooses the join.
+MAX_HOT = 200_000
 _ALL = (1 << 64) - 1
 _SLICE = 1 << 16
 
@@ -102,78 +111,90 @@ class BKTree:
             node = self.children[node].setdefault(d, new)
 
 
-def shard_links(keys: list[int], radius: int) -> list[tuple[int, int]]:
-    """(fingerprint, smallest fingerprint it is linked to) of one shard's distinct keys."""
-    tree, up = BKTree(), list(range(len(keys)))
+def shard_links(keys: list[int], radius: int, asked: list[int] = ()) -> list[tuple[int, int]]:
+    """(fingerprint, smallest fingerprint it is linked to) of one shard's distinct
+    keys; with `asked`, of the links between those and the keys alone."""
+    tree, both = BKTree(), [*keys, *asked]
+    up = list(range(len(both)))
 
     def top(i: int) -> int:
         while up[i] != i:
             up[i] = i = up[up[i]]
         return i
 
-    for i, key in enumerate(keys):
-        for j in tree.within(key, radius):
-            a, b = top(i), top(j)
-            up[max(a, b)] = min(a, b)
-        tree.add(key)
-    return [(keys[i], keys[t]) for i in range(len(keys)) if (t := top(i)) != i]
-
-
-def _submasks(agreed: int, radius: int) -> list[int]:
-    free = [i for i in range(64) if not agreed >> i & 1]
-    return [agreed | sum(1 << i for i in block.tolist()) for block in np.array_split(free, radius + 1) if len(block)]
-
-
-def _in_shards(rows: DataFrame, masks: set[int], radius: int) -> tuple[DataFrame, set[int]]:
-    """Puts (mask, fp) rows into the shards of the next level."""
-    spark = rows.sparkSession
-    nxt = [(_signed(m), _signed(s)) for m in sorted(masks) for s in _submasks(m, radius)]
-    # at most (radius + 1) ** level masks: a bound that the data has no part in
-    table = spark.createDataFrame(nxt, "mask long, sub long")
-    out = rows.join(F.broadcast(table), "mask").select(
-        F.col("sub").alias("mask"), F.expr("fp & sub").alias("value"), "fp")
-    return out, {s & _ALL for _, s in nxt}
+    for i, key in enumerate(both):
+        if not asked or i >= len(keys):
+            for j in tree.within(key, radius):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+        if i < len(keys):
+            tree.add(key)
+    low: dict[int, int] = {}
+    for i, key in enumerate(both):
+        low[top(i)] = min(low.get(top(i), key), key)
+    return [(key, low[top(i)]) for i, key in enumerate(both) if low[top(i)] != key]
+
+
+def _levels(radius: int) -> list[list[int]]:
+    """Masks of agreed bits by level: all choices of n - radius of n bit blocks."""
+    out = []
+    for n in range(radius + 1, min(64, radius + 8), 2):
+        if out and math.comb(n, radius) > MAX_MASKS:
+            break
+        blocks = [sum(1 << i for i in block.tolist()) for block in np.array_split(range(64), n)]
+        out.append([sum(some) for some in itertools.combinations(blocks, n - radius)])
+    return out
 
 
 def links(nodes: DataFrame, radius: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Distinct fingerprints `fp` -> edges (u, v) that connect all pairs at
     `radius` or fewer differing bits."""
-    spark = nodes.sparkSession
     if not 0 <= radius < 64:
         raise ValueError("radius must be from 0 to 63 bits")
-    rows, masks = nodes.select(F.lit(0).cast("long").alias("mask"), "fp"), {0}
-    ready = None
-    while True:
-        rows, masks = _in_shards(rows, masks, radius)
-        sizes = cut_lineage(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        # bits all agreed but one block: no further division is possible
-        large = (F.col("n") > shard_rows) & (F.bit_count("mask") + radius + 1 < 64)
-        some = rows.join(sizes.filter(~large), ["mask", "value"]).select("mask", "value", "fp")
+    members, ready = nodes.select("fp"), None
+    shard, whole = ["mask", "value"], [F.lit(0).alias("cell"), F.lit(False).alias("asked"), "fp"]
+    for masks in _levels(radius):
+        table = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
+        placed = members.select(F.explode(table).alias("mask"), "fp").withColumn("value", F.expr("fp & mask"))
+        sizes = cut_lineage(placed.groupBy(*shard).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        hot = sizes.filter(F.col("n") > shard_rows)
+        n_hot = hot.count()
+        some = placed.join(sizes.filter(F.col("n") <= shard_rows), shard).select(*shard, *whole)
         ready = some if ready is None else ready.unionByName(some)
-        hot = sizes.filter(large)
-        if hot.isEmpty():
+        if not n_hot:
             break
-        rows = cut_lineage(rows.join(hot, ["mask", "value"]).select("mask", "fp"))
+        # a few rows each standing for more than shard_rows others; beyond the bound Spark chooses the join
+        large = placed.join(F.broadcast(hot) if n_hot <= MAX_HOT else hot, shard)
+        members = cut_lineage(large.select("fp").distinct())
+    else:
+        parts_ = F.ceil(F.col("n") / shard_rows).cast("int")
+        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        # cell (i, j), i <= j: the tree of part i, asked by part j
+        cells = (large.withColumn("parts", parts_).withColumn("own", own)
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+        i, j = F.least("own", "other"), F.greatest("own", "other")
+        ready = ready.unionByName(cells.select(*shard, (i * F.col("parts") + j + 1).alias("cell"),
+                                               (F.col("own") > F.col("other")).alias("asked"), "fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, keys = None, []
+        now, keys, asked = None, [], []
 
         def edges() -> pa.RecordBatch:
-            got = shard_links(keys, radius)
+            got = shard_links(keys, radius, asked)
             return pa.RecordBatch.from_arrays(
                 [pa.array([_signed(x[i]) for x in got], pa.int64()) for i in (0, 1)], ["u", "v"])
 
         for b in batches:
-            for m, v, fp in zip(*(c.to_pylist() for c in b.columns)):
-                if (m, v) != shard:
-                    if len(keys) > 1:
+            for m, v, c, ask, fp in zip(*(c.to_pylist() for c in b.columns)):
+                if (m, v, c) != now:
+                    if len(keys) + len(asked) > 1:
                         yield edges()
-                    shard, keys = (m, v), []
-                keys.append(fp & _ALL)
-        if len(keys) > 1:
+                    now, keys, asked = (m, v, c), [], []
+                (asked if ask else keys).append(fp & _ALL)
+        if len(keys) + len(asked) > 1:
             yield edges()
 
-    return (ready.repartition(parts(spark), "mask", "value").sortWithinPartitions("mask", "value", "fp")
+    return (ready.repartition(parts(nodes.sparkSession), *shard, "cell").sortWithinPartitions(*shard, "cell", "fp")
             .mapInArrow(run, "u long, v long").distinct())
 
 

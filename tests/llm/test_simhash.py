@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import xxhash
@@ -69,6 +70,60 @@ def test_dense_shards_are_divided_without_losing_links(spark):
         assert {x: got.get(x, x) for x in signed} == want
 
 
+def test_levels_leave_no_pair_apart():
+    rng = random.Random(3)
+    for radius in (0, 1, 3, 5):
+        for masks in simhash._levels(radius):
+            assert len(masks) <= simhash.MAX_MASKS
+            for _ in range(40):
+                d = sum(1 << b for b in rng.sample(range(64), radius))
+                assert any(not d & m for m in masks)
+
+
+def ball(rng, bits, flips, n):
+    centre, fps = rng.getrandbits(64), set()
+    while len(fps) < n:
+        x = centre
+        for b in rng.sample(range(bits), rng.randrange(flips + 1)):
+            x ^= 1 << b
+        fps.add(x)
+    return fps
+
+
+def test_a_ball_of_twenty_thousand_at_the_registered_limit(spark):
+    rng = random.Random(9)
+    fps = ball(rng, 30, 6, 20_000)
+    nodes = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long").repartition(8)
+    got = {r.node & (1 << 64) - 1: r.label for r in simhash.connected_components(simhash.links(nodes)).collect()}
+    # brute force: neighbours by flipping up to three of the thirty bits, from a few members on
+    seen, label = set(), {}
+    flips = [sum(1 << b for b in c) for k in (1, 2, 3) for c in itertools.combinations(range(30), k)]
+    for start in sorted(fps):
+        if start in seen:
+            continue
+        group, todo = {start}, [start]
+        rest = fps - seen
+        while todo and len(group) < len(rest):
+            x = todo.pop()
+            new = {x ^ f for f in flips} & rest - group
+            group |= new
+            todo += new
+        seen |= group
+        low = min(map(simhash._signed, group))
+        label |= {x: low for x in group if len(group) > 1}
+    assert got == label
+
+
+def test_shards_too_large_at_the_last_level_are_searched_in_parts(spark):
+    rng = random.Random(2)
+    fps = ball(rng, 12, 4, 400) | {rng.getrandbits(64) for _ in range(50)}
+    signed = [simhash._signed(x) for x in fps]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3)
+    got = {r.node: r.label for r in simhash.connected_components(simhash.links(nodes, 1, 4)).collect()}
+    want = brute_groups({x: x & (1 << 64) - 1 for x in signed}, 1)
+    assert {x: got.get(x, x) for x in signed} == want
+
+
 def test_bk_tree_follows_only_edges_in_reach():
     rng = random.Random(1)
     keys = list({rng.getrandbits(10) for _ in range(300)})
