@@ -202,13 +202,3 @@ def explanation(label: Column, prob: Column, band: Column, ann: Column,
             F.lit("⚠ Limited data available ("), fmt(completeness * 100, 0),
             F.lit("%) — prediction reliability is reduced."))))
     return F.concat_ws(" ", *parts)
-
-
-def choose_explainer(models: dict, tree_attributions_available: bool = False) -> str:
-    """The first available tree model when tree attributions are available,
-    else the magnitude fallback (X02) - the path used by the scoring flow."""
-    if tree_attributions_available:
-        for name in TREE_PREFERENCE:
-            if name in models:
-                return name
-    return "magnitude"

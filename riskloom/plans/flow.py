@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import attribution as A
 from ..operators import explain as X
 from ..operators import graph as G
 from ..operators import metrics as MT
@@ -100,14 +101,21 @@ def score_table(df: DataFrame, bundle: dict, prepared: bool = False) -> DataFram
 
 
 def explain_scores(df: DataFrame, bundle: dict) -> DataFrame:
-    """X04 (no tree attribution library: magnitude fallback) -> X02 over PCA
-    components -> X05 back-projection with the loadings -> X06 ranking."""
+    """X04 explainer -> attributions over PCA components (X01 of the preferred
+    tree model, X02 magnitude only where no tree model is fitted) -> X05
+    back-projection with the loadings -> X06 ranking."""
     k = len(bundle["explained"])
-    comp = vector_to_array("features")
-    attr_pc = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: comp[j] * 0.01)
+    chosen = A.choose_explainer(bundle["models"])
+    if chosen == "magnitude":
+        comp = vector_to_array("features")
+        df = df.withColumn("_pc", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: comp[j] * 0.01))
+    else:
+        paths = A.leaf_paths(A.first_estimator(bundle["models"][chosen]))
+        pc = A.tree_attributions(df, paths, "account_id", k).select("account_id", F.col("attributions").alias("_pc"))
+        df = df.join(pc, "account_id")
     names = [n[2:] if n.startswith("f_") else n for n in bundle["names"]]
-    orig = X.back_project(attr_pc, loadings(bundle["pca"]), names)
-    return df.withColumn("top_attributions", F.slice(X.rank_estimated(orig, 10), 1, 5))
+    orig = X.back_project(F.col("_pc"), loadings(bundle["pca"]), names)
+    return df.withColumn("top_attributions", F.slice(X.rank_estimated(orig, 10), 1, 5)).drop("_pc")
 
 
 def score(spark, sf_dir, bundle: dict) -> DataFrame:

@@ -171,7 +171,7 @@ def m20_meta_learner(spark, sf_dir):
 
 def _bundle(spark, sf_dir):
     return flow.train(spark, sf_dir, trees=QUERY_TREES, boost_iters=QUERY_TREES,
-                      models=["random_forest", "naive_bayes"], with_graph=True)
+                      models=["xgboost", "random_forest", "naive_bayes"], with_graph=True)
 
 
 @query("m28_train_flow")
