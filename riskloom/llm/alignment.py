@@ -35,8 +35,8 @@ from .common import cut_lineage, read_table, written
 from .langid import _pieces
 from .lm import pack, unpack
 
-BATCH_CHARS = 1 << 21
-MEMO = 200_000
+BATCH_CHARS = 1 << 20
+MEMO = 100_000
 MAX_PAIRS = 1 << 22
 _CUT = re.compile(r"(?<=\S)(?= )")
 _JOINED = re.compile(r"\s ")
@@ -88,7 +88,7 @@ class TokenizerPair:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[tuple[list[int], list[int]]] = []
+        self.ids: list[tuple[bytes, bytes]] = []                 # little-endian 32-bit ids of either side
         self.same: list[bool] = []                               # both sides give the piece's bytes
 
     def learn(self, some: list[str]) -> None:
@@ -98,12 +98,12 @@ class TokenizerPair:
             for p, e, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), got_b):
                 b = b if len(p) > 1 else [self.space]
                 self.known[p] = len(self.ids)
-                self.ids.append((e.ids, b))
+                self.ids.append((np.array(e.ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()))
                 raw = p.encode()
                 self.same.append(b"".join(map(self.bytes_a.__getitem__, e.ids)) == raw
                                  and b"".join(map(self.bytes_b.__getitem__, b)) == raw)
 
-    def tokens_of(self, texts: list[str | None]) -> tuple[list[list[int]], list[tuple[list[int], list[int]]]]:
+    def tokens_of(self, texts: list[str | None]) -> tuple[list[list[int]], list[tuple[bytes, bytes]]]:
         """Piece numbers of each text (none for a text without tokens) and the pieces' ids."""
         if len(self.known) > MEMO:
             self.clear()
@@ -117,7 +117,7 @@ class TokenizerPair:
 
     def _bytes_hold(self, text: str, row: list[int]) -> bool:
         raw = (" " + text).encode()
-        return all(b"".join(table[x] for n in row for x in self.ids[n][side]) == raw
+        return all(b"".join(table[x] for n in row for x in np.frombuffer(self.ids[n][side], "<u4")) == raw
                    for side, table in enumerate((self.bytes_a, self.bytes_b)))
 
 
@@ -202,9 +202,9 @@ def _cells(size: int) -> pa.Array:
     return pa.array([f"{i}{after}" for i in range(size) for after in _AFTER], pa.large_string())
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.concatenate(([0], np.cumsum(n))), np.fromiter((x for one in lists for x in one), np.int64, int(n.sum()))
+def _flat(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+    return np.concatenate(([0], np.cumsum(n))), np.frombuffer(b"".join(rows), "<u4")
 
 
 _BLOCK = "block long, n_pieces binary, numbers binary, n_a binary, a binary, n_b binary, b binary, step_a binary, step_b binary, codes binary, counts binary"
@@ -272,7 +272,8 @@ def alignments(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row in enumerate(batch.to_pylist()):
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]           # one block at a time
                 got = _read(row)
                 a, b, doc = got.links()
                 order = np.lexsort((b, a, doc))
@@ -336,7 +337,8 @@ def _summaries(blocks: DataFrame, pairs: DataFrame, cells: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, best = shared.value
         for batch in batches:
-            for i, row in enumerate(batch.to_pylist()):
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]           # one block at a time
                 got = _read(row)
                 a, b, doc = got.links()
                 here = got.pair_codes(a, b)
