@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from .langid import _pieces
 from .lm import pack, unpack
 
 BATCH_CHARS = 1 << 20
-MEMO = 100_000
+MEMO = 400_000
 MAX_PAIRS = 1 << 22
 _CUT = re.compile(r"(?<=\S)(?= )")
 _JOINED = re.compile(r"\s ")
@@ -88,37 +89,63 @@ class TokenizerPair:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[tuple[bytes, bytes]] = []                 # little-endian 32-bit ids of either side
-        self.same: list[bool] = []                               # both sides give the piece's bytes
+        #: For each lot of pieces learned together: ids of either side and how many a piece has; whether both sides keep its bytes.
+        self.lots: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def learn(self, some: list[str]) -> None:
         for at in range(0, len(some), 20_000):
             new = some[at:at + 20_000]
-            got_b = self.b.encode([p[1:] for p in new], num_threads=1)   # the library puts a space before
-            for p, e, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), got_b):
-                b = b if len(p) > 1 else [self.space]
-                self.known[p] = len(self.ids)
-                self.ids.append((np.array(e.ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()))
-                raw = p.encode()
-                self.same.append(b"".join(map(self.bytes_a.__getitem__, e.ids)) == raw
-                                 and b"".join(map(self.bytes_b.__getitem__, b)) == raw)
-
-    def tokens_of(self, texts: list[str | None]) -> tuple[list[list[int]], list[tuple[bytes, bytes]]]:
-        """Piece numbers of each text (none for a text without tokens) and the pieces' ids."""
+            got_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+            # the library puts a space before
+            got_b = [b if len(p) > 1 else [self.space] for p, b in zip(new, self.b.encode([p[1:] for p in new], num_threads=1))]
+            size = np.fromiter((len(p.encode()) for p in new), np.int64, len(new))
+            raw, same, lot = "".join(new).encode(), np.ones(len(new), bool), []
+            for got, table, lens in ((got_a, self.bytes_a, self.len_a), (got_b, self.bytes_b, self.len_b)):
+                n = np.fromiter(map(len, got), np.int64, len(got))
+                flat = np.fromiter(itertools.chain.from_iterable(got), np.int64, int(n.sum()))
+                total = np.concatenate(([0], np.cumsum(lens[flat])))[np.concatenate(([0], np.cumsum(n)))]
+                if (np.diff(total) != size).any() or b"".join(map(table.__getitem__, flat.tolist())) != raw:
+                    same &= [b"".join(map(table.__getitem__, ids)) == p.encode() for p, ids in zip(new, got)]
+                lot += [n, flat.astype(np.uint32)]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.lots.append((*lot, same))
+
+    def tables(self) -> list[np.ndarray]:
+        """n_a, flat_a, n_b, flat_b, same of all known pieces, by their numbers."""
+        if len(self.lots) > 1:
+            self.lots = [tuple(np.concatenate(x) for x in zip(*self.lots))]
+        empty = np.zeros(0, np.int64)
+        return list(self.lots[0]) if self.lots else [empty, empty, empty, empty, empty.astype(bool)]
+
+    def tokens_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of all texts, one after another, and how many a text has (none for one without tokens)."""
         if len(self.known) > MEMO:
             self.clear()
         cut = [pieces(t) if t else [] for t in texts]
         self.learn([p for p in set().union(*cut) if p not in self.known])
-        numbers = [[self.known[p] for p in c] for c in cut]
-        for i, (text, row) in enumerate(zip(texts, numbers)):
-            if not all(map(self.same.__getitem__, row)) and not self._bytes_hold(text, row):
-                numbers[i] = []
-        return numbers, self.ids
-
-    def _bytes_hold(self, text: str, row: list[int]) -> bool:
+        per_text = np.fromiter(map(len, cut), np.int64, len(cut))
+        numbers = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(per_text.sum()))
+        same = self.tables()[4]
+        if len(numbers) and not same.all():
+            owner = np.repeat(np.arange(len(cut)), per_text)
+            bad = [i for i in np.unique(owner[~same[numbers]]).tolist() if not self._bytes_hold(texts[i], numbers[owner == i])]
+            numbers = numbers[~np.isin(owner, bad)]
+            per_text[bad] = 0
+        return numbers, per_text
+
+    def rows(self, kinds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For either side the offsets and the ids of some pieces."""
+        n_a, flat_a, n_b, flat_b, _ = self.tables()
+        out = []
+        for n, flat in ((n_a, flat_a), (n_b, flat_b)):
+            ids, some = _spread(np.concatenate(([0], np.cumsum(n))), flat, kinds)
+            out.append((np.concatenate(([0], np.cumsum(some))), ids))
+        return out
+
+    def _bytes_hold(self, text: str, numbers: np.ndarray) -> bool:
         raw = (" " + text).encode()
-        return all(b"".join(table[x] for n in row for x in np.frombuffer(self.ids[n][side], "<u4")) == raw
-                   for side, table in enumerate((self.bytes_a, self.bytes_b)))
+        return all(b"".join(map(table.__getitem__, ids.tolist())) == raw
+                   for (_, ids), table in zip(self.rows(numbers), (self.bytes_a, self.bytes_b)))
 
 
 @functools.cache
@@ -202,11 +229,6 @@ def _cells(size: int) -> pa.Array:
     return pa.array([f"{i}{after}" for i in range(size) for after in _AFTER], pa.large_string())
 
 
-def _flat(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-    return np.concatenate(([0], np.cumsum(n))), np.frombuffer(b"".join(rows), "<u4")
-
-
 _BLOCK = "block long, n_pieces binary, numbers binary, n_a binary, a binary, n_b binary, b binary, step_a binary, step_b binary, codes binary, counts binary"
 
 
@@ -223,12 +245,9 @@ def aligned_blocks(docs: DataFrame, path_a: str | None = None, path_b: str | Non
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for s in _pieces([t or "" for t in texts], batch_chars):
-                numbers, ids = one.tokens_of(texts[s])
-                per_doc = np.fromiter(map(len, numbers), np.int64, len(numbers))
-                kinds, at = np.unique(np.fromiter((x for n in numbers for x in n), np.int64, int(per_doc.sum())),
-                                      return_inverse=True)
-                off_a, flat_a = _flat([ids[k][0] for k in kinds.tolist()])
-                off_b, flat_b = _flat([ids[k][1] for k in kinds.tolist()])
+                numbers, per_doc = one.tokens_of(texts[s])
+                kinds, at = np.unique(numbers, return_inverse=True)
+                (off_a, flat_a), (off_b, flat_b) = one.rows(kinds)
                 got = Aligned(at, per_doc, off_a, flat_a, off_b, flat_b).join(one)
                 a, b, _ = got.links()
                 codes, counts = np.unique(got.pair_codes(a, b), return_counts=True)
@@ -240,8 +259,8 @@ def aligned_blocks(docs: DataFrame, path_a: str | None = None, path_b: str | Non
                            pack(np.diff(codes, prepend=np.uint64(0))), pack(counts.astype(np.uint32))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(part << 32) + seq], pa.int64()), *[pa.array([c], pa.binary()) for c in columns],
-                     pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()),
-                                              batch.column(0).slice(s.start, len(numbers)))],
+                     pa.ListArray.from_arrays(pa.array([0, len(per_doc)], pa.int32()),
+                                              batch.column(0).slice(s.start, len(per_doc)))],
                     [*(f.split()[0] for f in _BLOCK.split(", ")), "ids"])
                 seq += 1
 
