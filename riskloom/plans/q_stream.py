@@ -11,9 +11,12 @@ from ..operators.output import label_text, risk_band
 from ..session import scratch_path
 from ..sources.tables import Tables
 from ..streaming import monitor as MON
+from ..streaming import scans as SCANS
 from .common import round_doubles
 from .registry import query
 
+SCAN_FILES = 4
+
 RESULTS_SQL = """res AS (SELECT CAST(ts AS TIMESTAMP) AS scan_ts, event_type AS mode,
     event_type || '@' || strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00:00') AS scan_id,
     'user_' || CAST(user_id AS VARCHAR) AS username, least(value / 500, 0.99) AS probability,
@@ -112,24 +115,17 @@ def st05_running_report(spark, sf_dir):
 
 @query("st01_stream_monitor", LATEST_SQL)
 def st01_stream_monitor(spark, sf_dir):
-    """The events table replayed as a file stream (availableNow) through the
-    monitor; the alert table it upserts must equal the batch ST03 result."""
-    ev_schema = Tables(spark, sf_dir).events.schema
-    snaps = (spark.readStream.schema(ev_schema).option("maxFilesPerTrigger", 1)
-             .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    watch = Tables(spark, sf_dir).events.select(
-        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username")).distinct()
+    """The events table replayed as a stream of several files, one scan each, and
+    compacted; the alerts must equal the batch ST03 result."""
     root = scratch_path(spark, f"monitor-{uuid.uuid4().hex}")
-
-    def score_fn(df):
-        return score_events(df.drop("username"))
-
-    snaps = snaps.withColumn("username", F.concat(F.lit("user_"), F.col("user_id").cast("string")))
-    qa, qh = MON.start_monitor(snaps, watch, score_fn, root + "/alerts", root + "/history", root + "/ckpt",
-                               trigger={"availableNow": True}, watermark="3650 days")
-    qa.awaitTermination()
-    qh.awaitTermination()
-    back = MON.read_alerts(spark, root + "/alerts", "username string, scan_id string, probability double, "
-                                                    "scan_ts timestamp, mode string, label string, risk_band string, "
-                                                    "alert_level string, alert_date date")
+    events = Tables(spark, sf_dir).events
+    events.repartitionByRange(SCAN_FILES, "ts").write.parquet(root + "/in")
+    name = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    snaps = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root + "/in")
+             .withColumn("username", name))
+    SCANS.start_scans(snaps, events.select(name.alias("username")).distinct(), lambda d: score_events(d.drop("username")),
+                      root + "/out", root + "/ckpt", {"availableNow": True}).awaitTermination()
+    log = SCANS.ScanLog(spark, root + "/out")
+    log.compact()
+    back = log.alerts()
     return round_doubles(back.select("alert_level", "username", "alert_date", "scan_id", "probability"))
