@@ -36,14 +36,20 @@ def v06_standardize(spark, sf_dir):
 _PAD = ["f_account_age_days", "f_posts_per_day", "f_caption_similarity_score"]
 
 
+_PRESENT = ["log_followers", "posts", "username_entropy"]
+
+
 @query("v07_pad_training_means", with_accounts(
-    "SELECT account_id, " + ", ".join(f"0.0 AS z_{n}" for n in _PAD) + " FROM features", FEATURES_SQL))
+    "SELECT account_id, " + ", ".join(f"0.0 AS z_{n}" for n in _PAD) + ", " + ", ".join(
+        f"round(CASE WHEN s_{n} = 0 OR s_{n} IS NULL THEN 0.0 ELSE ({n} - m_{n}) / s_{n} END, 6) AS z_f_{n}" for n in _PRESENT)
+    + f" FROM features, (SELECT {_STATS} FROM features WHERE label IS NOT NULL)", FEATURES_SQL))
 def v07_pad_training_means(spark, sf_dir):
-    """Scoring rows that lack three trained columns get the training mean (z = 0), by name."""
+    """Scaler fitted on labelled rows; all rows scored without three trained columns: those get the training
+    mean (z = 0) by name, and the others keep their own statistics."""
     f = flow.feature_table(spark, sf_dir, with_graph=False)
-    stats = scaler_stats(f, NAMES)
+    stats = scaler_stats(f.where(F.col("label").isNotNull()), NAMES)
     z = standardize(f.drop(*_PAD), NAMES, stats=stats, prefix="z_", keep=["account_id"])
-    return round_doubles(z.select("account_id", *[f"z_{n}" for n in _PAD]))
+    return round_doubles(z.select("account_id", *[f"z_{n}" for n in _PAD], *[f"z_f_{n}" for n in _PRESENT]))
 
 
 def _prepared(spark, sf_dir, graph=False):

@@ -209,13 +209,25 @@ def s08_evaluation_csv(spark, sf_dir):
     return round_doubles(df.select("platform", *_NUM, "is_fake", "username", "bio"))
 
 
-@query("s09_csv_sink_columns", "SELECT " + ", ".join(f"'{c}' AS c{i:02d}" for i, c in enumerate(RD.EVAL_COLUMNS)))
+_S09 = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS name, count(*) AS n_rows, "
+    + (f"count({c}) AS n_values, round(coalesce(sum(CAST({c} AS DOUBLE)), 0), 4) AS total FROM ev" if c in [*_NUM, "is_fake"]
+       else f"count({c}) AS n_values, 0.0 AS total FROM ev" if c in ("platform", "username", "bio")
+       else "0 AS n_values, 0.0 AS total FROM ev") for i, c in enumerate(RD.EVAL_COLUMNS))
+
+
+@query("s09_csv_sink_columns", with_accounts(_S09, EVAL_SQL))
 def s09_csv_sink_columns(spark, sf_dir):
-    """The sink writes exactly the 20 columns in the fixed order (header read back)."""
+    """The whole written file read back by position: the 20 columns in their order, their values counted and summed."""
     p = _path(spark, "eval_csv")
     RD.write_eval_csv(eval_rows(spark, sf_dir), p)
-    cols = RD.read_csv_strings(spark, p).columns
-    return RD.read_csv_strings(spark, p).limit(1).select(*[F.lit(c).alias(f"c{i:02d}") for i, c in enumerate(cols)])
+    raw = RD.read_csv_strings(spark, p)
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in raw.columns])
+    text = ["platform", "username", "bio"]
+    total = F.sum(F.when(~F.col("name").isin(text), F.col("value").try_cast("double")))
+    return (raw.select(F.posexplode(cells).alias("position", "c")).select("position", "c.*").groupBy("position", "name")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"),
+                 F.round(F.coalesce(total, F.lit(0.0)), 4).alias("total")))
 
 
 # ------------------------------------------------------------------ S13-S19
