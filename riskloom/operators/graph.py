@@ -155,18 +155,25 @@ def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 # --- G09-G10: communities ------------------------------------------------------------------
 
-def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
+def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, max_rounds: int = 100) -> DataFrame:
     """G09 (first stage): synchronous label propagation, start label = id; each
     node takes the most frequent neighbour label, ties to the smallest; a node
-    without neighbours keeps its label.  Fixed rounds -> deterministic."""
+    without neighbours keeps its label.  Runs until no label changes and raises
+    RuntimeError if `max_rounds` do not get there, or for the number of `rounds`
+    that the caller names."""
     e2 = cut_lineage(both_ways(edges))
     lab = vertices.select("id", F.col("id").alias("community"))
-    for _ in range(rounds):
+    for _ in range(max_rounds if rounds is None else rounds):
         votes = (e2.join(lab.select(F.col("id").alias("src"), F.col("community").alias("c")), "src")
                  .groupBy(F.col("dst").alias("id"), "c").agg(F.count(F.lit(1)).alias("n")))
         best = votes.groupBy("id").agg(F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("nc"))
-        lab = cut_lineage(lab.join(best, "id", "left")
-                          .select("id", F.coalesce("nc", "community").alias("community")))
+        new = cut_lineage(lab.join(best, "id", "left").select("id", F.coalesce("nc", "community").alias("community"),
+                                                              F.coalesce(F.col("nc") != F.col("community"), F.lit(False)).alias("_new")))
+        lab = new.drop("_new")
+        if rounds is None and new.filter("_new").isEmpty():
+            return lab
+    if rounds is None:
+        raise RuntimeError(f"labels still changed after {max_rounds} rounds")
     return lab
 
 
@@ -184,11 +191,15 @@ GRAPH_FEATURES = ["pagerank", "betweenness_centrality", "clustering_coefficient"
 
 
 def graph_features(vertices: DataFrame, edges: DataFrame, with_betweenness: bool = True,
-                   lp_rounds: int = 5, pivots: int | None = None) -> DataFrame:
-    """5 metrics per node, missing -> 0 (left joins on id).  `pivots` as in betweenness()."""
+                   communities: DataFrame | None = None, pivots: int | None = None) -> DataFrame:
+    """5 metrics per node, missing -> 0 (left joins on id).  `communities`
+    (id, community) are those of largest modularity unless given; `pivots` as in
+    betweenness()."""
+    from .communities import modularity_communities
+    communities = modularity_communities(vertices, edges) if communities is None else communities
     out = vertices
     parts = [pagerank(vertices, edges), clustering(vertices, edges), degree_centrality(vertices, edges),
-             community_size_ratio(vertices, label_propagation(vertices, edges, lp_rounds))]
+             community_size_ratio(vertices, communities)]
     if with_betweenness:
         parts.append(betweenness(vertices, edges, pivots))
     for p in parts:
