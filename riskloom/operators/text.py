@@ -67,9 +67,10 @@ def svd_embed(weights: DataFrame, key: str = "doc_id", dim: int = DIM, seed: int
     IndexedRowMatrix of sparse rows (one row per document, width = vocabulary)
     and mllib's distributed eigen-solver works on Gramian-vector products.
     Component signs are arbitrary; rows pad to `dim` with zeros (V03)."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark.mllib.linalg import Vectors, VectorUDT
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
     from pyspark.sql import Window
+    from pyspark.sql.types import LongType, StructField, StructType
     spark = weights.sparkSession
     terms = weights.select("term").distinct()
     t_idx = terms.withColumn("j", F.row_number().over(Window.orderBy("term")) - 1)  # vocabulary <= 5000 rows
@@ -80,20 +81,17 @@ def svd_embed(weights: DataFrame, key: str = "doc_id", dim: int = DIM, seed: int
     k = min(dim, vocab, n_docs - 1)
     if k < 1:
         return rows.select(key, F.array_repeat(F.lit(0.0), dim).alias("embedding"))
-    from pyspark import StorageLevel
-
     from ..session import cut_lineage
-    rdd = rows.rdd.map(lambda r: IndexedRow(r[key], Vectors.sparse(vocab, [x["j"] for x in r["e"]],
-                                                                    [x["weight"] for x in r["e"]])))
-    rdd.persist(StorageLevel.MEMORY_AND_DISK)      # reused by every Gramian-vector product
-    try:
-        svd = IndexedRowMatrix(rdd).computeSVD(k, computeU=True)
-        s = svd.s.toArray().tolist()
-        u = cut_lineage(spark.createDataFrame(
-            svd.U.rows.map(lambda r: (int(r.index), [float(v) for v in r.vector.toArray()])),
-            f"{key} long, u array<double>"))
-    finally:
-        rdd.unpersist()
+
+    # built once and kept as JVM rows: every Gramian-vector product reads them, none goes through Python again
+    matrix = cut_lineage(spark.createDataFrame(
+        rows.rdd.map(lambda r: (int(r[key]), Vectors.sparse(vocab, [x["j"] for x in r["e"]], [x["weight"] for x in r["e"]]))),
+        StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])))
+    svd = IndexedRowMatrix(matrix).computeSVD(k, computeU=True)
+    s = svd.s.toArray().tolist()
+    u = cut_lineage(spark.createDataFrame(
+        svd.U.rows.map(lambda r: (int(r.index), [float(v) for v in r.vector.toArray()])),
+        f"{key} long, u array<double>"))
     emb = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                       lambda i: F.when(i < k, F.col("u")[i] * F.array(*[F.lit(x) for x in s])[i]).otherwise(0.0))
     return u.select(key, emb.alias("embedding"))
