@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clean import strip_ws
+from .clean import WS_CLASS, strip_ws
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"      # runs of >= 2 word characters (Unicode letters, digits, _)
 MAX_FEATURES = 5000
@@ -23,19 +23,29 @@ def tokens(text_col: str):
     return F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
 
 
+def has_text(c):
+    """Not null and not only white space: one other code point is enough, where stripping reads the whole text."""
+    return c.isNotNull() & c.rlike(WS_CLASS.replace("[", "[^", 1))
+
+
 def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text", max_features: int | None = None) -> DataFrame:
     """Sublinear tf (1 + ln tf), smooth idf ln((1+n)/(1+df)) + 1, rows
     L2-normalised.  The vocabulary is every term, or the max_features most
     frequent ones (ties by term) if the caller asks for a cut.
     Only non-blank texts take part."""
-    d = docs.where(F.col(text_col).isNotNull() & (strip_ws(F.col(text_col)) != "")) \
-            .select(F.col(key).alias("doc"), F.explode(tokens(text_col)).alias("term"))
-    tf = d.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.where(F.col(text_col).isNotNull() & (strip_ws(F.col(text_col)) != "")).agg(F.count(F.lit(1))).first()[0]
+    from ..session import cut_lineage
+    texts = docs.where(has_text(F.col(text_col)))
+    n = texts.agg(F.count(F.lit(1))).first()[0]
+    # texts meet by document, so that their tokens are counted without a shuffle of their own, and once for all uses
+    d = texts.select(F.col(key).alias("doc"), F.col(text_col).alias("text")).repartition("doc") \
+             .select("doc", F.explode(tokens("text")).alias("term"))
+    tf = cut_lineage(d.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if max_features is not None:
         stats = stats.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
     vocab = stats.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    if max_features is not None and max_features <= MAX_FEATURES:
+        vocab = F.broadcast(vocab)
     w = tf.join(vocab, "term").select("doc", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, "doc").select(F.col("doc").alias(key), "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from riskloom import session
 from riskloom.operators import text as TX
 
 
@@ -21,3 +22,22 @@ def test_svd_reads_a_checkpointed_table_and_embeds_by_its_rank(spark, monkeypatc
     u, s, _ = np.linalg.svd(X, full_matrices=False)
     E, want = np.array([got[i] for i in docs]), (u * s)[:, :4]
     assert np.allclose(E @ E.T, want @ want.T, atol=1e-6)
+
+
+def test_tfidf_counts_tokens_once_and_shuffles_texts_not_tokens(spark, monkeypatch):
+    rows = [(1, "red red blue"), (1, "red green"), (2, "blue green"), (3, "  \n"), (4, None), (None, "red blue"), (5, "?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept, real = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: (kept.append(df), real(df))[1])
+    got = {(r.doc_id, r.term): r.weight for r in TX.tfidf(docs, max_features=3).collect()}
+    assert len(kept) == 1 and kept[0].columns == ["doc", "term", "tf"]
+    assert kept[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2   # initial and final plan
+    tf = {1: {"red": 3, "blue": 1, "green": 1}, 2: {"blue": 1, "green": 1}, None: {"red": 1, "blue": 1}}
+    n = 5                                                        # texts that are not blank, "?" among them
+    df = {t: sum(t in c for c in tf.values()) for t in ("red", "blue", "green")}
+    want = {}
+    for doc in (1, 2):
+        w = {t: (1 + np.log(k)) * (np.log((1 + n) / (1 + df[t])) + 1) for t, k in tf[doc].items()}
+        norm = np.sqrt(sum(v * v for v in w.values()))
+        want |= {(doc, t): v / norm for t, v in w.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
