@@ -1,8 +1,12 @@
 """What learners and the text SVD hand to Spark."""
 
+import unicodedata
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from riskloom import session
+from riskloom.operators import clean as C
 from riskloom.operators import text as TX
 
 
@@ -24,6 +28,26 @@ def test_svd_reads_a_checkpointed_table_and_embeds_by_its_rank(spark, monkeypatc
     assert np.allclose(E @ E.T, want @ want.T, atol=1e-6)
 
 
+def test_long_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    def rows(batches):
+        import pandas as pd
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)]})
+    texts = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("é"), 20_000).alias("t"))   # 40 KB each
+    assert max(r.n for r in texts.mapInPandas(rows, "n long").collect()) < 500
+
+
+def test_nfkc_folds_wide_texts_and_leaves_ascii_out_of_python(spark, monkeypatch):
+    from riskloom.functions import udfs
+    texts = ["plain", "", None, "ﬁn ①", "é", "Ａb", "a\nb"]
+    x = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    got = {r.i: r.t for r in x.select("i", C.nfkc(F.col("t")).alias("t")).collect()}
+    assert got == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    monkeypatch.setattr(udfs, "nfkc", lambda c: c)               # what the Python side is given
+    sent = C.nfkc(F.col("t"))._jc.toString()
+    assert "RLIKE" in sent.upper() and "WHEN" in sent.upper()
+
+
 def test_tfidf_counts_tokens_once_and_shuffles_texts_not_tokens(spark, monkeypatch):
     rows = [(1, "red red blue"), (1, "red green"), (2, "blue green"), (3, "  \n"), (4, None), (None, "red blue"), (5, "?")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
