@@ -3,10 +3,12 @@
 import unicodedata
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from riskloom import session
 from riskloom.operators import clean as C
+from riskloom.operators import models as M
 from riskloom.operators import text as TX
 
 
@@ -48,6 +50,17 @@ def test_nfkc_folds_wide_texts_and_leaves_ascii_out_of_python(spark, monkeypatch
     assert "RLIKE" in sent.upper() and "WHEN" in sent.upper()
 
 
+def test_feature_map_sends_only_the_vector_to_python(spark):
+    W, b = np.array([[1.0, 2.0], [0.5, -1.0], [0.0, 3.0]]), np.array([0.1, 0.2, 0.3])
+    x = spark.createDataFrame([(1, "a text", [1.0, 2.0]), (2, None, [0.0, -1.0])], "id int, bio string, v array<double>")
+    out = M._rff(x.withColumn("features", array_to_vector("v")), W, b)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+    for r in out.collect():
+        assert np.allclose(r.rff.toArray(), np.sqrt(2 / 3) * np.cos(W @ np.array(r.v) + b))
+        assert r.bio == {1: "a text", 2: None}[r.id] and r.features.toArray().tolist() == r.v
+
+
 def test_tfidf_counts_tokens_once_and_shuffles_texts_not_tokens(spark, monkeypatch):
     rows = [(1, "red red blue"), (1, "red green"), (2, "blue green"), (3, "  \n"), (4, None), (None, "red blue"), (5, "?")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
