@@ -78,3 +78,15 @@ def test_tfidf_counts_tokens_once_and_shuffles_texts_not_tokens(spark, monkeypat
         norm = np.sqrt(sum(v * v for v in w.values()))
         want |= {(doc, t): v / norm for t, v in w.items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_deep_forests_keep_node_numbers_by_row_and_give_the_same_trees(spark):
+    """Without them every job of a level carries the whole forest grown so far."""
+    x = (spark.range(400, numPartitions=3)
+         .select(F.array(F.rand(1), F.rand(2), F.rand(3)).alias("x"), (F.rand(4) > 0.5).cast("double").alias("label"))
+         .select(array_to_vector("x").alias("features"), "label").cache())
+    zoo = M.model_zoo(3, trees=2)
+    for name in ("random_forest", "extra_trees"):
+        assert zoo[name].getCacheNodeIds()
+        plain = zoo[name].copy({zoo[name].cacheNodeIds: False})
+        assert zoo[name].fit(x).toDebugString.split("\n")[1:] == plain.fit(x).toDebugString.split("\n")[1:]
