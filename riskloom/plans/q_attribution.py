@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution as A
 from ..operators.features import FEATURE_NAMES
+from ..session import cut_lineage
 from . import flow
 from .common import round_doubles, with_accounts
 from .registry import query
@@ -105,7 +106,8 @@ def x01_tree_attributions(spark, sf_dir):
 def x04_explainer_choice(spark, sf_dir):
     """Top attributions of every account by the explainer that the fitted models allow: with trees and without."""
     bundle = flow.train(spark, sf_dir, boost_iters=20, with_graph=False, models=["xgboost", "naive_bayes"], oof_folds=2)
-    scored = flow.score_table(flow.feature_table(spark, sf_dir, with_graph=False), bundle)
+    # read by the attributions and the ranking of both explainers
+    scored = cut_lineage(flow.score_table(flow.feature_table(spark, sf_dir, with_graph=False), bundle))
     out = None
     for models in (bundle["models"], {"naive_bayes": bundle["models"]["naive_bayes"]}):
         got = flow.explain_scores(scored, bundle | {"models": models})
