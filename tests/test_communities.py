@@ -67,6 +67,28 @@ def test_peer_chain(spark):
     assert value(edges, label) > value(edges, {i: i // 20 for i in nodes})   # better than two halves
 
 
+def test_a_round_is_a_few_small_jobs(spark, monkeypatch):
+    """Small sides are not shuffled: most of a round's time is its number of Spark jobs."""
+    nodes, edges = list(range(24)), [(i, j) for i in range(24) for j in range(i + 1, min(24, i + 4))]
+    v, e = frames(spark, nodes, edges)
+    move, rounds, sc = C._moved, [], spark.sparkContext
+    monkeypatch.setattr(C, "_moved", lambda *a: rounds.append(1) or move(*a))
+    sc.setJobGroup("rounds", "communities")
+    try:
+        got = {r.id: r.community for r in C.modularity_communities(v, e).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert value(edges, got) > 0.3
+    assert jobs <= 16 * len(rounds), (jobs, len(rounds))
+
+
+def test_nodes_without_name_or_edges(spark):
+    nodes, edges = planted(groups=2, size=6, between=1)
+    got = [tuple(r) for r in C.modularity_communities(*frames(spark, [*nodes, 70, 70, None], edges)).collect()]
+    assert sorted(got) == [(i, i // 6 * 6 if i < 12 else i) for i in [*nodes, 70]]
+
+
 def test_empty_graph(spark):
     v, e = frames(spark, [], [])
     assert C.modularity_communities(v, e).count() == 0
