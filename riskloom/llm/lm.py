@@ -14,15 +14,16 @@ Everything counted grows with the corpus, so no model is broadcast.  Texts are
 tokenised once into blocks (rows of packed integers, written to the shared
 folder).  A block asks for the totals of its own n-grams only: it sends packed,
 sorted hashes with its counts to hash buckets; a bucket adds them up over all
-blocks and answers each block in the order it asked.  Spark shuffles the pieces;
-numpy works on one block or bucket at a time.  N-grams are named by 64-bit
-hashes.
+blocks and answers each block in the order it asked.  What contains a word or a
+pair that one block alone holds is counted in that block and not sent.  Spark
+shuffles the pieces; numpy works on one block or bucket at a time.  N-grams are
+named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,9 @@ BUCKET_ROWS = 1 << 20
 FOLDS, FOLD = 10, 0
 _END = xxhash.xxh64_intdigest(b"")                               # no word is empty
 WORDS, PAIRS, GAINS, TRIPLES, GAINS2 = range(5)
+#: Counts are sent as integers and answered as 2 * total + (one block alone holds the key), gains are answered by whether they reach MIN_GAIN.
+_SENT = {k: np.float64 if k in (GAINS, GAINS2) else np.uint64 for k in range(5)}
+_TOLD = {k: np.uint8 if k in (GAINS, GAINS2) else np.uint64 for k in range(5)}
 
 _PIECE = "kind int, bucket int, block long, keys binary, values binary"
 _ANSWER = "block long, kind int, bucket int, totals binary, seen long, total double"
@@ -106,7 +110,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pieces_of(kind: int, block: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple]:
     """The keys in ascending order, cut at the bucket limits."""
     order = np.argsort(keys)
-    keys, values = keys[order], values[order]
+    keys, values = keys[order], values[order].astype(_SENT[kind])
     limits = [(i << 64) // buckets for i in range(1, buckets)]
     at = [0, *np.searchsorted(keys, np.array(limits, np.uint64)).tolist(), len(keys)]
     return [(kind, i, block, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(values[a:b]))
@@ -117,16 +121,20 @@ def _frame(pieces: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(pieces, columns=["kind", "bucket", "block", "keys", "values"])
 
 
-def exchange(pieces: DataFrame) -> DataFrame:
+def exchange(pieces: DataFrame, min_gain: float = MIN_GAIN) -> DataFrame:
     """Adds up each key's values over all blocks and answers every piece."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
         keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
-        values = np.concatenate([unpack(v, np.float64) for v in rows["values"]])
+        values = np.concatenate([unpack(v, _SENT[key[0]]) for v in rows["values"]])
         ends = np.cumsum([len(k) for k in keys])
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(at, values)
-        back = totals[at]
+        if key[0] in (GAINS, GAINS2):
+            told = (totals >= min_gain).astype(np.uint8)
+        else:
+            told = totals.astype(np.uint64) * np.uint64(2) + (np.bincount(at) == 1).astype(np.uint64)
+        back = told[at]
         return pd.DataFrame({
             "block": rows["block"].to_numpy(), "kind": key[0], "bucket": key[1],
             "totals": [pack(x) for x in np.split(back, ends[:-1])],
@@ -151,20 +159,25 @@ class BlockState:
         self.answers = {}
         if answers is not None and len(answers):
             for kind, rows in answers.groupby("kind"):
-                self.answers[kind] = np.concatenate([unpack(x, np.float64) for x in rows.sort_values("bucket")["totals"]])
+                self.answers[kind] = np.concatenate([unpack(x, _TOLD[kind]) for x in rows.sort_values("bucket")["totals"]])
 
     def answer(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
+        out = np.zeros(len(keys), _TOLD[kind])
         if len(keys):
             out[np.argsort(keys)] = self.answers[kind]
         return out
 
+    @staticmethod
+    def _told(totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(totals, whether this block alone holds the key) of an answer."""
+        return (totals >> np.uint64(1)).astype(float), (totals & np.uint64(1)).astype(bool)
+
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.words[self.train], minlength=len(self.hashes)).astype(float)
 
     def count_words(self) -> None:
         """c: training count of each local word; p0: the empty context's distribution."""
-        self.c = self.answer(WORDS, self.hashes)
+        self.c, self.word_alone = self._told(self.answer(WORDS, self.hashes))
         self.p0 = (self.c + ALPHA) / (self.n + ALPHA * (self.v + 1))
 
     def make_pairs(self) -> None:
@@ -179,6 +192,7 @@ class BlockState:
         self.pair_context, self.pair_word = kinds // len(self.hashes), kinds % len(self.hashes)
         self.pair_keys = _mix(self.hashes[self.pair_context], self.hashes[self.pair_word])
         self.pair_own = np.bincount(self.pair[self.train[self.in1]], minlength=len(kinds)).astype(float)
+        self.pair_sent = ~(self.word_alone[self.pair_context] | self.word_alone[self.pair_word])
 
     @staticmethod
     def smoothed(count: np.ndarray, context: np.ndarray, shorter: np.ndarray, less: int = 0) -> np.ndarray:
@@ -186,13 +200,15 @@ class BlockState:
         return (np.maximum(count - less, 0) + prior * shorter) / (context - less + prior)
 
     def count_pairs(self) -> None:
-        self.pair_count = self.answer(PAIRS, self.pair_keys)
+        self.pair_count, self.pair_alone = self.pair_own.copy(), ~self.pair_sent
+        self.pair_count[self.pair_sent], self.pair_alone[self.pair_sent] = self._told(
+            self.answer(PAIRS, self.pair_keys[self.pair_sent]))
         shorter, context = self.p0[self.pair_word], self.c[self.pair_context]
         self.p1 = self.smoothed(self.pair_count, context, shorter)
         loo = self.smoothed(self.pair_count, context, shorter, 1)
         gain = np.bincount(self.pair_context, self.pair_own * np.log(loo / shorter), len(self.hashes))
         self.contexts = np.unique(self.pair_context)
-        self.gain = gain[self.contexts]
+        self.gain, self.gain_sent = gain[self.contexts], ~self.word_alone[self.contexts]
 
     def make_triples(self) -> None:
         """Distinct (pair as context, word) whose pair is a candidate."""
@@ -207,31 +223,40 @@ class BlockState:
         self.triple_context, self.triple_word = kinds // len(self.hashes), kinds % len(self.hashes)
         self.triple_keys = _mix(self.pair_keys[self.triple_context], self.hashes[self.triple_word])
         self.triple_own = np.bincount(self.triple[self.train[self.in2]], minlength=len(kinds)).astype(float)
+        # the pair a triple ends with; -1 if its context is no candidate
+        self.triple_end = np.full(len(kinds), -1, np.int64)
+        self.triple_end[self.triple] = place[self.in2]
+        end = self.triple_end
+        self.triple_sent = ~(self.pair_alone[self.triple_context] | self.word_alone[self.triple_word])
+        self.triple_sent[end >= 0] &= ~self.pair_alone[end[end >= 0]]
 
     def count_triples(self) -> None:
-        self.triple_count = self.answer(TRIPLES, self.triple_keys)
+        self.triple_count = self.triple_own.copy()
+        self.triple_count[self.triple_sent] = self._told(self.answer(TRIPLES, self.triple_keys[self.triple_sent]))[0]
         # the shorter context of a triple's token: the pair of the last two words
-        shorter = np.zeros(len(self.triple_word))
-        place = np.full(len(self.words), -1, np.int64)
-        place[self.in1] = self.pair
-        at = place[self.in2]
-        shorter[self.triple] = np.where(at >= 0, self.p1[at] if len(self.p1) else 0.0, self.p0[self.words[self.in2]])
+        at = self.triple_end
+        shorter = np.where(at >= 0, self.p1[at] if len(self.p1) else 0.0, self.p0[self.triple_word])
         context = self.pair_count[self.triple_context]
         self.p2 = self.smoothed(self.triple_count, context, shorter)
         loo = self.smoothed(self.triple_count, context, shorter, 1)
         gain = np.bincount(self.triple_context, self.triple_own * np.log(loo / shorter), len(self.pair_keys))
         self.contexts2 = np.unique(self.triple_context)
-        self.gain2 = gain[self.contexts2]
+        self.gain2, self.gain2_sent = gain[self.contexts2], ~self.pair_alone[self.contexts2]
+
+    def _reached(self, kind: int, keys: np.ndarray, own: np.ndarray, sent: np.ndarray) -> np.ndarray:
+        reached = own >= self.min_gain
+        reached[sent] = self.answer(kind, keys[sent])
+        return reached
 
     def scores(self) -> pd.DataFrame:
         base = np.log10(self.p0)[self.words]
         own = base.copy()
         kept = np.zeros(len(self.hashes), bool)
-        kept[self.contexts] = self.answer(GAINS, self.hashes[self.contexts]) >= self.min_gain
+        kept[self.contexts] = self._reached(GAINS, self.hashes[self.contexts], self.gain, self.gain_sent)
         use = kept[self.before[self.in1]]
         own[self.in1[use]] = np.log10(self.p1[self.pair[use]])
         kept2 = np.zeros(len(self.pair_keys), bool)
-        kept2[self.contexts2] = self.answer(GAINS2, self.pair_keys[self.contexts2]) >= self.min_gain
+        kept2[self.contexts2] = self._reached(GAINS2, self.pair_keys[self.contexts2], self.gain2, self.gain2_sent)
         use = kept2[self.triple_context[self.triple]]
         own[self.in2[use]] = np.log10(self.p2[self.triple[use]])
         size = len(self.lens)
@@ -241,10 +266,17 @@ class BlockState:
             "base_score": np.bincount(self.doc, base, size), "score": np.bincount(self.doc, own, size)})
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Lets the driver notice that the shuffles of earlier passes are no longer used, so executors delete them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Executors delete the shuffle files of every query run inside as soon as it ends (results are written by then).
+    Else Spark keeps them as long as it holds the query, and all passes' files lie on disk together."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -262,8 +294,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"),
                       held_out(docs[id_col], folds, fold).alias("held_out"))
-    blocks = written(token_blocks(src, block_chars), "tokens")
-    size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
+    with _shuffles_freed(spark):
+        blocks = written(token_blocks(src, block_chars), "tokens")
+        size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
     b_words, b_grams = int(size["w"]) // bucket_rows + 1, int(size["t"]) // bucket_rows + 1
     n, v = 0.0, 0
 
@@ -273,8 +306,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 s = BlockState(row)
                 yield _frame(_pieces_of(WORDS, s.block, s.hashes, s.word_counts(), b_words))
 
-    answers = written(exchange(blocks.mapInPandas(words, _PIECE)), "words")
-    total = answers.agg(F.sum("seen").alias("v"), F.sum("total").alias("n")).first()
+    with _shuffles_freed(spark):
+        answers = written(exchange(blocks.mapInPandas(words, _PIECE)), "words")
+        total = answers.agg(F.sum("seen").alias("v"), F.sum("total").alias("n")).first()
     n, v = total["n"] or 0.0, total["v"] or 0
 
     def state(row: pd.DataFrame, got: pd.DataFrame) -> BlockState:
@@ -285,21 +319,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def pairs(row: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         s = state(row, got)
-        return _frame(_pieces_of(PAIRS, s.block, s.pair_keys, s.pair_own, b_grams))
+        return _frame(_pieces_of(PAIRS, s.block, s.pair_keys[s.pair_sent], s.pair_own[s.pair_sent], b_grams))
 
     def triples(row: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         s = state(row, got)
         s.count_pairs()
         s.make_triples()
-        return _frame(_pieces_of(GAINS, s.block, s.hashes[s.contexts], s.gain, b_words)
-                      + _pieces_of(TRIPLES, s.block, s.triple_keys, s.triple_own, b_grams))
+        return _frame(_pieces_of(GAINS, s.block, s.hashes[s.contexts[s.gain_sent]], s.gain[s.gain_sent], b_words)
+                      + _pieces_of(TRIPLES, s.block, s.triple_keys[s.triple_sent], s.triple_own[s.triple_sent], b_grams))
 
     def gains(row: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         s = state(row, got)
         s.count_pairs()
         s.make_triples()
         s.count_triples()
-        return _frame(_pieces_of(GAINS2, s.block, s.pair_keys[s.contexts2], s.gain2, b_words))
+        return _frame(_pieces_of(GAINS2, s.block, s.pair_keys[s.contexts2[s.gain2_sent]], s.gain2[s.gain2_sent], b_words))
 
     def last(row: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         s = state(row, got)
@@ -309,11 +343,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return s.scores()
 
     for step, name in ((pairs, "pairs"), (triples, "triples"), (gains, "gains")):
-        _free_shuffles(spark)
         asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(step, _PIECE)
-        answers = answers.unionByName(written(exchange(asked), name))
-        del asked                                                # with its shuffles
-    _free_shuffles(spark)
+        with _shuffles_freed(spark):
+            answers = answers.unionByName(written(exchange(asked, min_gain), name))
     kind = src.schema["id"].dataType.simpleString()
     return (blocks.groupBy("block").cogroup(answers.groupBy("block"))
             .applyInPandas(last, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "

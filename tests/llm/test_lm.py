@@ -117,3 +117,30 @@ def test_packed_arrays_come_back():
         a = np.arange(1000).astype(kind)
         assert (lm.unpack(lm.pack(a), kind) == a).all()
         assert len(lm.unpack(lm.pack(a[:0]), kind)) == 0
+
+
+def test_shuffles_of_a_pass_are_deleted_when_it_ends(spark, monkeypatch):
+    """Between passes no shuffle file of an earlier one is on disk."""
+    import glob
+    import time
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    dirs = [d.toString() for d in env.blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    before, left, written = files(), [], lm.written
+
+    def watched(*a):
+        out, until = written(*a), time.time() + 5                # executors delete on their own
+        while files() - before and time.time() < until:
+            time.sleep(0.1)
+        left.append(files() - before)
+        return out
+
+    monkeypatch.setattr(lm, "written", watched)
+    rows = [(i, f"a b c{i % 7} d{i % 5} a b") for i in range(200)]
+    same({r.doc_id: r for r in lm.score_texts(docs(spark, rows), block_chars=300).collect()}, brute(rows, lm.MIN_CONTEXT))
+    assert left == [set()] * 5
+    assert spark.conf.get(key, "false") == "false"
