@@ -5,18 +5,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from riskloom.operators import models as M
-
+from riskloom.plans import q_models as Q
 
 class Broken:
     def fit(self, df):
         raise ValueError("no fit")
 
-
 class Unscorable:
     def transform(self, df):
         raise ValueError("no score")
 
-
 @pytest.fixture(scope="module")
 def rows(spark):
     return (spark.range(60, numPartitions=3)
@@ -24,14 +22,12 @@ def rows(spark):
                     (F.col("id") % 2).cast("int").alias("fold"))
             .select("account_id", array_to_vector("x").alias("features"), "label", "fold").cache())
 
-
 def test_a_failing_model_ends_training_unless_the_caller_reports_it(rows):
     zoo = {"bad": Broken(), "naive_bayes": M.model_zoo(2)["naive_bayes"]}
     with pytest.raises(RuntimeError, match="bad failed to train"):
         M.train_zoo(rows, zoo)
     assert list(M.train_zoo(rows, zoo, skip_failed=True)) == ["naive_bayes"]
 
-
 def test_out_of_fold_scores_are_never_stand_ins(rows):
     with pytest.raises(RuntimeError, match="bad failed to train"):
         M.oof_matrix(rows, {"bad": Broken()}, k=2)
@@ -40,3 +36,36 @@ def test_out_of_fold_scores_are_never_stand_ins(rows):
     with pytest.raises(RuntimeError, match="not trained"):
         M.probability_matrix(rows, {}, ["bad"], complete=True)
     assert {r.p_bad for r in M.probability_matrix(rows, {"bad": Unscorable()}).collect()} == {0.5}
+
+@pytest.fixture
+def asked(spark, rows, monkeypatch):
+    """What the queries train, without training it."""
+    seen = {}
+
+    def train(df, zoo, **how):
+        seen.update(zoo)
+        return {k: None for k in zoo if k != "svm"}
+
+    monkeypatch.setattr(M, "train_zoo", train)
+    monkeypatch.setattr(Q, "_pca_table", lambda *a: (rows.withColumn("split", F.lit("train")), 2))
+    return seen
+
+def test_the_zoo_query_trains_every_model_in_full_and_names_failures(spark, asked):
+    got = {r.model: r.fitted for r in Q.m12_train_zoo(spark, "").collect()}
+    assert got == {k: k != "svm" for k in M.model_zoo(2)}
+    assert [asked[k].getMaxIter() for k in ("xgboost", "lightgbm", "catboost")] == [200] * 3
+    assert asked["random_forest"].getNumTrees() == asked["extra_trees"].getNumTrees() == 200
+    assert asked["adaboost"].rounds == 100 and asked["mlp"].getMaxIter() == 300
+
+def test_forest_and_mlp_queries_train_in_full(spark, rows, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def stop(est, df):
+        raise Stop(est.getNumTrees() if hasattr(est, "getNumTrees") else est.getMaxIter())
+
+    monkeypatch.setattr(Q, "_pca_table", lambda *a: (rows.withColumn("split", F.lit("train")), 2))
+    for kind in ("random_forest", "extra_trees", "mlp"):
+        monkeypatch.setattr(type(M.model_zoo(2)[kind]), "_fit", stop)
+        with pytest.raises(Stop, match="300" if kind == "mlp" else "200"):
+            Q._model_query(kind)(spark, "")
