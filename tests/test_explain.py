@@ -45,3 +45,31 @@ def test_the_total_is_not_summed_again_for_each_entry_nor_weights_for_each_compa
     plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan(X.annotate(F.col("a"), X.raw_value_map(df))).count("aggregate(") <= 2
     assert plan(X.rank_estimated(F.col("a"), 4)).count("array_contains(") == 1
+
+
+def test_back_projection_adds_loadings_in_order_outside_lambdas(spark):
+    import math
+    V = [[0.1, -0.7, 3.0], [1e-3, 0.3, -2.0]]
+    rows = [(1, [0.5, -1.25]), (2, [None, 2.0]), (3, None), (4, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, c array<double>")
+    out = df.select("id", X.back_project(F.col("c"), V, ["a", "b", "c"]).alias("p"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+    got = {r.id: [(x.name, x.value) for x in r.p] for r in out.collect()}
+    for i, c in rows[:3]:
+        c = [x or 0.0 for x in c or [0.0, 0.0]]
+        assert got[i] == [(n, 0.0 + c[0] * V[0][j] + c[1] * V[1][j]) for j, n in enumerate("abc")]
+    assert all(math.isnan(v) for _, v in got[4])
+
+
+def test_weights_without_nulls_are_sorted_without_a_comparator(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, [nan, 1.0, nan, 2.0, -2.0, 0.0]), (2, [3.0, None, 1.0, 4.0, -4.0, None])], "id long, v array<double>")
+    df = df.withColumn("a", F.transform("v", lambda v, i: F.struct(F.concat(F.lit("n"), i).alias("name"), v.alias("value"))))
+    out = df.select("id", X.top_k_abs(F.col("a"), 5).alias("t"))
+    assert "sort_array(" in out._jdf.queryExecution().analyzed().toString()
+    got = {r.id: [x.name for x in r.t] for r in out.collect()}
+    assert got[1] == ["n0", "n2", "n3", "n4", "n1"]
+    keyed = F.transform("a", lambda x, i: F.struct(x["name"].alias("name"), i.alias("i"), F.abs(x["value"]).alias("w")))
+    cmp = lambda l, r: F.when(l["w"] > r["w"], F.lit(-1)).when(l["w"] < r["w"], F.lit(1)).otherwise(l["i"] - r["i"])
+    assert got[2] == df.where("id = 2").select(F.slice(F.transform(F.array_sort(keyed, cmp), lambda x: x["name"]), 1, 5)).first()[0]
