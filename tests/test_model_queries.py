@@ -1,5 +1,6 @@
 """Model queries: full counts, failures that show, parts of forests."""
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -69,3 +70,79 @@ def test_forest_and_mlp_queries_train_in_full(spark, rows, monkeypatch):
         monkeypatch.setattr(type(M.model_zoo(2)[kind]), "_fit", stop)
         with pytest.raises(Stop, match="300" if kind == "mlp" else "200"):
             Q._model_query(kind)(spark, "")
+
+
+@pytest.fixture(scope="module")
+def more(spark):
+    x = spark.range(300, numPartitions=2).select(F.col("id").alias("account_id"), F.array(F.rand(1), F.rand(2), F.rand(3)).alias("x"))
+    return x.withColumn("label", (F.col("x")[0] + F.col("x")[1] * F.rand(5) > 0.8).cast("int")).select(
+        "account_id", array_to_vector("x").alias("features"), "label", (F.col("account_id") % 3).cast("int").alias("cal_fold")).cache()
+
+
+def test_a_large_forest_is_fitted_and_scored_in_written_parts(spark, more, monkeypatch, tmp_path):
+    from pyspark.ml.classification import RandomForestClassificationModel as Whole
+
+    from riskloom.operators import attribution as A
+    from riskloom.plans import bundle as B
+    forest = M.model_zoo(3, trees=7)["random_forest"]
+    assert isinstance(forest.fit(more), Whole)
+    monkeypatch.setattr(M, "FOREST_ROWS", 3 * 300)
+    model = forest.fit(more)
+    parts = [Whole.load(p) for p in model.paths]
+    assert [p.getNumTrees for p in parts] == [2, 2, 3]
+    got = {r.account_id: r for r in model.transform(more).collect()}
+    raw = [{r.account_id: r.rawPrediction.toArray() for r in p.transform(more).collect()} for p in parts]
+    for i, r in got.items():
+        votes = sum(p[i] for p in raw)
+        assert np.allclose(r.rawPrediction.toArray(), votes) and np.allclose(r.probability.toArray(), votes / 7)
+        assert r.prediction == float(votes[1] > votes[0])
+    # the explainer follows all parts, in tasks as well as on the driver
+    paths = sorted(map(str, A.leaf_paths(model).collect()))
+    monkeypatch.setattr(A, "DRIVER_NODES", 0)
+    assert paths == sorted(map(str, A.leaf_paths(model).collect()))
+    assert A.choose_explainer({"random_forest": model}) == "random_forest"
+    one = A.tree_attributions(more, A.leaf_paths(model), "account_id", 3)
+    for r in one.collect():
+        assert abs(r.base + sum(r.attributions) - got[r.account_id].probability[1]) < 1e-9
+    # and a saved bundle holds them
+    kept = {"models": {"random_forest": model}, "pca": _pca(more), "meta": _meta(more), "stats": more.limit(1).select("label"), "names": [],
+            "model_names": ["random_forest"], "weights": [], "threshold": 0.5, "explained": []}
+    B.save_bundle(spark, kept, f"file://{tmp_path}/b")
+    again = B.load_bundle(spark, f"file://{tmp_path}/b")["models"]["random_forest"]
+    assert {r.account_id: r.probability for r in again.transform(more).collect()} == {i: r.probability for i, r in got.items()}
+
+
+def _pca(x):
+    from pyspark.ml.feature import PCA
+    return PCA(k=2, inputCol="features", outputCol="pca").fit(x)
+
+
+def _meta(x):
+    from pyspark.ml.classification import LogisticRegression
+    return LogisticRegression().fit(x)
+
+
+def test_calibration_puts_the_forests_of_its_folds_away(more):
+    forest = M.model_zoo(3, trees=3)["random_forest"]
+    cal = M.calibrated_cv(forest, more)
+    assert all(isinstance(m, M.PutAway) for m, _ in cal.parts)
+    plain = M.CalibratedModel([(m.load(), iso) for m, iso in cal.parts])
+    want = {r.account_id: r.probability for r in plain.transform(more).collect()}
+    assert {r.account_id: r.probability for r in cal.transform(more).collect()} == want
+
+
+def test_fits_run_together_and_keep_their_order(spark, rows):
+    import threading
+    both = threading.Barrier(2, timeout=60)
+
+    class Waits:
+        def __init__(self, name):
+            self.name = name
+
+        def fit(self, df):
+            both.wait()                                          # one at a time would never get past this
+            return self.name
+
+    assert M.train_zoo(rows, {"b": Waits("x"), "a": Waits("y")}) == {"b": "x", "a": "y"}
+    with pytest.raises(ValueError, match="second"):
+        M.together(spark, [lambda: 1, lambda: (_ for _ in ()).throw(ValueError("second")), lambda: 3], 2)
