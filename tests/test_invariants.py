@@ -248,3 +248,28 @@ def test_pagerank_says_when_it_does_not_converge(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "src long, dst long")
     with pytest.raises(RuntimeError, match="did not converge"):
         G.pagerank(spark.range(4), e, max_iter=1)
+
+
+def test_betweenness_in_tasks_equals_the_joins_by_level(spark, monkeypatch):
+    edges = [(0, 1), (1, 2), (2, 3), (3, 4), (1, 3), (4, 5), (5, 6), (6, 4), (7, 8)]
+    v = spark.createDataFrame([(i,) for i in [*range(10), 3, None]], "id long")
+    e = spark.createDataFrame(edges, "src long, dst long")
+    for pivots in (None, 5):
+        monkeypatch.setattr(G, "TASK_EDGES", 100)
+        got = G.betweenness(v, e, pivots)
+        assert "FlatMapCoGroupsInPandas" in got._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.id is None, r.id or 0, round(r.betweenness_centrality, 12)) for r in got.collect())
+        monkeypatch.setattr(G, "TASK_EDGES", 0)
+        assert got == sorted((r.id is None, r.id or 0, round(r.betweenness_centrality, 12)) for r in G.betweenness(v, e, pivots).collect())
+
+
+def test_training_sees_every_peer_pair(spark, monkeypatch):
+    from riskloom.plans import flow
+    rows = spark.createDataFrame([(i, 100) for i in range(400)], "account_id long, followers long")
+    asked = []
+    monkeypatch.setattr(flow, "acc", lambda *a: rows)
+    monkeypatch.setattr(flow, "metadata_features", lambda a, **k: a)
+    monkeypatch.setattr(G, "label_propagation", lambda v, e, n: v)
+    monkeypatch.setattr(G, "graph_features", lambda v, e, **k: (asked.append(e.count()), v.select("id", *[F.lit(0.0).alias(c) for c in G.GRAPH_FEATURES]))[1])
+    assert flow.feature_table(spark, "").count() == 400
+    assert asked == [sum(min(9, 399 - i) for i in range(400))]
